@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestack.llm import quality, sharding
+from lodestack.llm import media, quality, sharding
 
 QUERIES = {
+    "op7_media": media.op7_media,
     "op8_sharding": sharding.op8_sharding,
     "op10_quality": quality.op10_quality,
 }

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestack.llm import media, quality, sharding
+from lodestack.llm import media, packing, quality, sharding
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op7_media": media.op7_media,
     "op8_sharding": sharding.op8_sharding,
     "op10_quality": quality.op10_quality,

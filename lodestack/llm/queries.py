@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from lodestack.llm import media, packing, quality, sharding
+from lodestack.llm import line_dedup, media, packing, quality, sharding
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op7_media": media.op7_media,
     "op8_sharding": sharding.op8_sharding,
     "op10_quality": quality.op10_quality,
 }
 ORACLES = {
+    "op4_line_dedup": line_dedup.ORACLE,
     "op10_quality": quality.ORACLE,
 }

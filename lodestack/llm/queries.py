@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestack.llm import line_dedup, media, packing, quality, sharding
+from lodestack.llm import langid, line_dedup, media, packing, quality, sharding
 
 QUERIES = {
+    "op1_langid": langid.op1_langid,
     "op2_packing": packing.op2_packing,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op7_media": media.op7_media,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.llm import langid, line_dedup, media, ngram_join, packing, quality, sharding, toxicity
+from lodestack.llm import langid, line_dedup, media, ngram_join, packing, quality, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -12,10 +12,12 @@ QUERIES = {
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_media": media.op7_media,
     "op8_sharding": sharding.op8_sharding,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_quality": quality.op10_quality,
 }
 ORACLES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_quality": quality.ORACLE,
 }

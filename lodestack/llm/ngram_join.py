@@ -41,7 +41,7 @@ from lodestack.runtime import drop_table, materialize
 #: Documents with more shingles use single tokens alone: combinations would be too many.
 LONG_SET = 600
 #: Tokens in more classes than this count as frequent, and as very frequent.
-FREQUENT, VERY_FREQUENT = 24, 768
+FREQUENT, VERY_FREQUENT = 128, 2048
 WORDS = 8  # 64-bit words of a parity sketch
 BLOCK = 1024
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], np.uint64)
@@ -175,7 +175,7 @@ def signatures(tokens: np.ndarray, df: np.ndarray, n: int, bounds: Bounds) -> li
 def _signed(bounds: Bounds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[int, int, int, int, bytes]] = []
+            rows: list[tuple[list[int], int, int, int, bytes]] = []
             at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             for nid, n, pairs in zip(at["nid"].to_pylist(), at["n"].to_pylist(), at["pairs"]):
                 flat = pairs.values
@@ -185,9 +185,9 @@ def _signed(bounds: Bounds):
                 if own:
                     bits = np.bincount((tokens.view(np.uint64) >> np.uint64(64 - 9)).astype(np.int64), minlength=64 * WORDS) & 1
                     sketch = np.packbits(bits.astype(np.uint8)).tobytes()
-                    rows += [(xxhash.xxh3_64_intdigest(np.array(s, np.int64).tobytes()) - 2**63, nid, n, n - len(tokens), sketch) for s in own]
+                    rows.append(([xxhash.xxh3_64_intdigest(np.array(s, np.int64).tobytes()) - 2**63 for s in own], nid, n, n - len(tokens), sketch))
             cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["sig", "nid", "n", "alone", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["sigs", "nid", "n", "alone", "sketch"])
 
     return run
 
@@ -319,20 +319,24 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, key: s
     tokens = sets.select("nid", "tokens").mapInArrow(_tokens, "nid long, token long")
     frequency = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequency")
     lists = tokens.join(frequency, "token").groupBy("nid").agg(F.collect_list(F.struct("token", "df")).alias("pairs"))
-    signed = lists.join(sets.select("nid", "n"), "nid").mapInArrow(_signed(bounds), "sig long, nid long, n long, alone long, sketch binary")
+    signed = lists.join(sets.select("nid", "n"), "nid").mapInArrow(_signed(bounds), "sigs array<long>, nid long, n long, alone long, sketch binary")
     signed = materialize(signed, "signatures")
-    sizes = materialize(signed.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
-    cut = signed.join(sizes, "sig").withColumn("_cuts", F.ceil(F.col("m") / BLOCK).cast("int"))
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("nid"), F.col("_cuts")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)))
-    rows = cut.select("sig", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "nid", "n", "alone", "sketch", "block")
+    large = materialize(signed.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK), "buckets")
+
+    def rows(labelled: DataFrame) -> DataFrame:
+        """A row for each signature; those of large buckets once for each block that theirs is compared with."""
+        every = labelled.select(F.explode("sigs").alias("sig"), "nid", "n", "alone", "sketch", "label").join(large, "sig", "left")
+        cut = every.withColumn("_cuts", F.coalesce(F.ceil(F.col("m") / BLOCK), F.lit(1)).cast("int"))
+        cut = cut.withColumn("block", F.pmod(F.xxhash64("nid"), F.col("_cuts")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)))
+        return cut.select("sig", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "nid", "n", "alone", "sketch", "block", "label")
 
     def found(labelled: DataFrame, last: bool) -> DataFrame:
-        dealt = labelled.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
+        dealt = rows(labelled).repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
         return dealt.mapInArrow(_pairs(bounds, last), "a long, b long").distinct()
 
-    edges = materialize(_verify(found(rows.withColumn("label", F.col("nid")), False), sets, bounds), "links")
+    edges = materialize(_verify(found(signed.withColumn("label", F.col("nid")), False), sets, bounds), "links")
     labels = components(edges)
-    labelled = rows.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    labelled = signed.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     more = materialize(_verify(found(labelled, True), sets, bounds), "links")
     if more.take(1):
         labels = components(edges.union(more))

@@ -1,6 +1,472 @@
-"""The registered queries of the engine's own operators and their oracle SQL."""
+"""The registered queries of the engine's own operators, each with DuckDB SQL for the same rows where SQL has it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestack.functions import metrics
+from lodestack.functions import text as fn
+from lodestack.operators import chunking, context, evaluation, retrieval
+from lodestack.runtime import table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+WS = fn.SPACE
+NOT_WS = fn.NOT_SPACE
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+# --- pieces of oracle SQL
+
+PUNCT = fn.PUNCTUATION.replace("'", "''")
+
+
+def norm(x: str) -> str:
+    article = lambda s: rf"regexp_replace({s}, '(^|[^\p{{L}}\p{{N}}_])(a|an|the)([^\p{{L}}\p{{N}}_]|$)', '\1 \3', 'g')"
+    return f"trim(regexp_replace({article(article(f"translate(lower({x}), '{PUNCT}', '')"))}, '{WS}+', ' ', 'g'))"
+
+
+def words(x: str) -> str:
+    return rf"regexp_extract_all(regexp_replace(lower({x}), '([\x{{4E00}}-\x{{9FA5}}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}_]+')"
+
+
+def spaced(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '{WS}+'), lambda w: w <> '')"
+
+
+def sents(x: str) -> str:
+    return rf"list_filter(string_split(regexp_replace({x}, '([.!?]){WS}+', '\1' || chr(1), 'g'), chr(1)), lambda w: regexp_matches(w, '{NOT_WS}'))"
+
+
+def stripped(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+LINES = "lines as (select doc_id, unnest(string_split(text, chr(10))) as text, unnest(range(0, len(string_split(text, chr(10)))))::int as pos from documents where text is not null)"
+SPLITS = f"{LINES}, splits as (select doc_id, pos as split_idx, text || chr(10) as text, case when pos = 0 then 1 else 1 + pos % 3 end::int as level from lines)"
+CHUNKS = f"""s as (select doc_id, unnest({sents("text")}) as t, unnest(range(1, len({sents("text")}) + 1)) as i from documents),
+n as (select doc_id, t, i, len({words("t")}) as n from s),
+walk as (select doc_id, i, n as used, 0 as chunk from n where i = 1
+  union all select n.doc_id, n.i, case when w.used + n.n <= 200 then w.used + n.n else n.n end, w.chunk + case when w.used + n.n <= 200 then 0 else 1 end from walk w join n on n.doc_id = w.doc_id and n.i = w.i + 1),
+chunks as (select doc_id, chunk::int as ordinal, {stripped("string_agg(t, '' order by i)")} as text from walk join n using (doc_id, i) group by doc_id, chunk)"""
+PAIRS = "pairs as (select a.conv_id, a.turn, a.text as pred, b.text as truth from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1)"
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    return docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+
+
+def splits_of(docs: DataFrame) -> DataFrame:
+    """Lines as splits, with levels 1, 2, 3 by position."""
+    level = F.when(F.col("pos") == 0, 1).otherwise(1 + F.col("pos") % 3)
+    return lines_of(docs).select("doc_id", F.col("pos").alias("split_idx"), F.concat("text", F.lit("\n")).alias("text"), level.cast("int").alias("level"))
+
+
+def pairs_of(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn with the next one of its conversation."""
+    turns = table(spark, d, "conversations")
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    gap = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")) - F.col("turn")
+    return turns.select("conv_id", "turn", F.col("text").alias("pred"), after.alias("truth"), gap.alias("_g")).where("_g = 1").drop("_g")
+
+
+# --- text functions
+
+
+@query(f"select doc_id, len({words('text')})::int as n_words, round(1.2 * len({spaced('text')}))::int as n_estimated from documents")
+def word_len(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", fn.word_len(F.col("text")).alias("n_words"), fn.count_words(F.col("text")).alias("n_estimated"))
+
+
+@query(f"select doc_id, {norm('text')} as normal from documents")
+def normalize(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", fn.normalize_answer(F.col("text")).alias("normal"))
+
+
+@query(f"select doc_id, regexp_replace(translate(lower(text), '{PUNCT}{fn.CJK_PUNCTUATION}', ''), '{WS}+', '', 'g') as normal from documents")
+def normalize_zh(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", fn.normalize_zh_answer(F.col("text")).alias("normal"))
+
+
+@query(f"select doc_id, i::int as i, s from (select doc_id, unnest({sents('text')}) as s, unnest(range(0, len({sents('text')}))) as i from documents)")
+def sentences(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.posexplode(fn.sentences_en(F.col("text"))).alias("i", "s"))
+
+
+@query()
+def sentences_merged(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.posexplode(fn.merge_short_sentences(fn.sentences_en(F.col("text")))).alias("i", "s"))
+
+
+@query(r"select doc_id, case when length(text) > 200 and not regexp_matches(text, '[\x{4E00}-\x{9FA5}]') then left(text, 150) || right(text, 50) when length(text) > 20 and regexp_matches(text, '[\x{4E00}-\x{9FA5}]') then left(text, 15) || right(text, 5) else text end as cut from documents")
+def truncate_sentence(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", fn.truncate_sentence(F.col("text"), 15, 5).alias("cut"))
+
+
+@query(f"with {LINES}, h as (select doc_id, pos, repeat('#', (pos % 4)::int) || case when pos % 4 > 0 then ' ' else '' end || text as l from lines) select doc_id, pos, length(replace(regexp_extract(l, '^[ #]*'), ' ', ''))::int as level, case when length(replace(regexp_extract(l, '^[ #]*'), ' ', '')) > 0 then regexp_replace(l, '^[ #]*', '# ') else l end as line from h")
+def headings(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("pos") % 4
+    rows = lines_of(table(spark, d, "documents")).select("doc_id", "pos", F.concat(F.repeat(F.lit("#"), n), F.when(n > 0, " ").otherwise(""), F.col("text")).alias("l"))
+    return rows.select("doc_id", "pos", fn.heading_level(F.col("l")).alias("level"), fn.replace_heading(F.col("l"), "# ").alias("line"))
+
+
+@query(f"with w as (select doc_id, {spaced('text')} as t from documents) select doc_id, array_to_string(case when len(t) > 100 then list_concat(t[1:50], t[len(t) - 49:]) else t end, ' ') as cut from w")
+def middle_truncate(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.array_join(fn.middle_truncate(fn.split_space(F.col("text")), 100), " ").alias("cut"))
+
+
+# --- chunking
+
+
+@query(f"with recursive {CHUNKS} select doc_id, ordinal, doc_id || '_' || ordinal as chunk_id, text from chunks")
+def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.fixed_chunks(table(spark, d, "documents"))
+
+
+@query(f"with {SPLITS}, g as (select *, sum(case when level <= 2 or split_idx = 0 then 1 else 0 end) over (partition by doc_id order by split_idx) - 1 as g from splits) select doc_id, g::int as split_idx, string_agg(text, '' order by split_idx) as text, arg_min(level, split_idx) as level from g group by doc_id, g")
+def level_clamp(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.clamp_levels(splits_of(table(spark, d, "documents")), 2)
+
+
+@query()
+def over_chunk_merge(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.merge_splits(splits_of(table(spark, d, "documents")), 100)
+
+
+NODES = f"""{SPLITS}, deep as (select doc_id, split_idx as i, level, depth from splits, (select unnest(range(0, 11)) as depth)),
+g as (select *, sum(case when i > 0 and level <= depth then 1 else 0 end) over (partition by doc_id, depth order by i) as g from deep),
+spans as (select doc_id, depth, min(i) as lft, max(i) + 1 as rgt from g group by doc_id, depth, g),
+nodes as (select s.*, p.lft as parent_lft from spans s left join spans p on p.doc_id = s.doc_id and p.depth = s.depth - 1 and p.lft <= s.lft and s.rgt <= p.rgt where s.depth = 0 or p.rgt - p.lft > 1)"""
+
+
+@query(f"with {NODES} select n.doc_id, n.depth::int as depth, n.lft::int as lft, n.rgt::int as rgt, n.parent_lft::int as parent_lft, (select count(*) from nodes c where c.doc_id = n.doc_id and c.depth = n.depth + 1 and c.parent_lft = n.lft)::int as n_children from nodes n")
+def hi_tree_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.tree_nodes(splits_of(table(spark, d, "documents")))
+
+
+POINTS = "points as (select doc_id, pos as p, (1 + pos % 2)::int as level from lines where pos % 3 = 0 union all select doc_id, pos, 3 from lines where pos % 6 = 0)"
+
+
+@query(f"with {LINES}, {POINTS}, c as (select doc_id, p as pos, max(level) as lv from points where p > 0 group by all), g as (select lines.*, lv, sum(case when lv is not null then 1 else 0 end) over (partition by doc_id order by pos) as g from lines left join c using (doc_id, pos)) select doc_id, g::int as split_idx, string_agg(text, '' order by pos) as text, coalesce(arg_min(coalesce(lv, 1), pos), 1)::int as level from g group by doc_id, g")
+def points_to_splits(spark: SparkSession, d: str) -> DataFrame:
+    lines = lines_of(table(spark, d, "documents"))
+    every = lines.where("pos % 3 = 0").select("doc_id", F.col("pos").alias("p"), (1 + F.col("pos") % 2).cast("int").alias("level"))
+    points = every.union(lines.where("pos % 6 = 0").select("doc_id", F.col("pos").alias("p"), F.lit(3)))
+    return chunking.points_to_splits(points, lines)
+
+
+@query(f"with {LINES}, a as (select doc_id, pos, length(text) % 50 as p, pos % 2 as l from lines), b as (select *, lag(p) over (partition by doc_id, l order by pos) as before from a) select doc_id, (l + 1)::int as level, pos, p::int as p from b where before is null or p > before")
+def parse_answers(spark: SparkSession, d: str) -> DataFrame:
+    line = F.concat((F.char_length("text") % 50).cast("string"), F.when(F.col("pos") % 2 == 0, ", Level One, True").otherwise(", Level Two, False"))
+    rows = lines_of(table(spark, d, "documents")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda x: x["l"]), "\n").alias("answer"))
+    return chunking.parse_answers(rows, "doc_id", "answer")
+
+
+@query(f"with {LINES}, p as (select doc_id, pos as lft, lead(pos) over (partition by doc_id order by pos) as nxt, max_pos from (select *, max(pos) over (partition by doc_id) + 1 as max_pos from lines) where pos % 4 = 0) select doc_id, lft::int as lft, coalesce(nxt, max_pos)::int as rgt from p")
+def points_to_clips(spark: SparkSession, d: str) -> DataFrame:
+    per = lines_of(table(spark, d, "documents")).groupBy("doc_id").agg(F.collect_list(F.when(F.col("pos") % 4 == 0, F.col("pos"))).alias("p"), (F.max("pos") + 1).alias("n"))
+    return per.select("doc_id", F.inline(chunking.points_to_clips(F.col("p"), F.lit(0), F.col("n"))))
+
+
+@query(f"with {LINES}, c as (select doc_id, pos, text, sum(len({words('text')})) over (partition by doc_id order by pos) as total from lines) select doc_id, pos from c where total <= 120 or pos = 0")
+def window_fill(spark: SparkSession, d: str) -> DataFrame:
+    rows = lines_of(table(spark, d, "documents")).withColumn("n", fn.word_len(F.col("text")))
+    return chunking.window_fill(rows, 120).select("doc_id", "pos")
+
+
+@query(f"with {LINES}, c as (select doc_id, pos, round(1.2 * sum(len({spaced('text')})) over (partition by doc_id order by pos)) as total from lines), e as (select doc_id, min(case when total >= 100 then pos + 1 end) as e, count(*) as n from c group by doc_id) select doc_id, (case when e is null then n when e > 1 then e - 1 else e end)::int as \"end\" from e")
+def paragraph_window(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.paragraph_window(lines_of(table(spark, d, "documents")), 100)
+
+
+@query(f"with {LINES}, g as (select *, (pos // 3)::int as i from lines) select doc_id, i, string_agg(text, chr(10) order by pos) as text from g group by doc_id, i")
+def cuts_to_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").where("text is not null").withColumn("l", F.split("text", "\n"))
+    n = F.size("l")
+    cuts = F.transform(F.sequence(F.lit(1), F.ceil(n / 3).cast("int")), lambda i: F.least(i * 3, n))
+    return rows.select("doc_id", F.posexplode(chunking.cuts_to_chunks(F.col("l"), cuts)).alias("i", "text"))
+
+
+@query("""with v as (select label, vec_id, embedding::double[] as v, lag(embedding::double[]) over (partition by label order by vec_id) as b from embeddings),
+f as (select label, vec_id, round(1 - list_inner_product(v, b) / sqrt(list_inner_product(v, v) * list_inner_product(b, b)), 9) as distance from v),
+q as (select label, quantile_cont(distance, 0.74) as q from f group by label)
+select label, vec_id, distance, sum(case when distance > q then 1 else 0 end) over (partition by label order by vec_id)::int as chunk from f join q using (label)""")
+def semantic_breaks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
+    return chunking.semantic_breaks(rows, key="label").select("label", F.col("pos").alias("vec_id"), "distance", "chunk")
+
+
+@query(r"select page_id, i::int as i, trim(regexp_replace(s, '<[^>]*>', ' ', 'g')) as text from (select page_id, unnest(string_split(html, '<h1')) as s, unnest(range(0, len(string_split(html, '<h1')))) as i from pages)")
+def page_sections(spark: SparkSession, d: str) -> DataFrame:
+    parts = table(spark, d, "pages").select("page_id", F.posexplode(F.split("html", "<h1")).alias("i", "s"))
+    return parts.select("page_id", "i", F.trim(F.regexp_replace("s", "<[^>]*>", " ")).alias("text"))
+
+
+@query(f"with {LINES}, l as (select doc_id, pos, case when pos % 5 = 2 then '# ' || text else text end as text from lines) select doc_id, pos, sum(case when pos > 0 and starts_with(text, '# ') then 1 else 0 end) over (partition by doc_id order by pos)::int as segment from l")
+def heading_segments(spark: SparkSession, d: str) -> DataFrame:
+    rows = lines_of(table(spark, d, "documents")).withColumn("text", F.when(F.col("pos") % 5 == 2, F.concat(F.lit("# "), "text")).otherwise(F.col("text")))
+    return chunking.heading_segments(rows).select("doc_id", "pos", "segment")
+
+
+@query(f"with {LINES}, h as (select repeat('#', (pos % 4)::int) || ' ' || text as l from lines) select length(replace(regexp_extract(l, '^[ #]*'), ' ', ''))::int as level, count(*) as n from h where length(replace(regexp_extract(l, '^[ #]*'), ' ', '')) > 0 group by 1")
+def heading_histogram(spark: SparkSession, d: str) -> DataFrame:
+    from lodestack.sources.corpora import heading_histogram as histogram
+
+    marked = lines_of(table(spark, d, "documents")).select(F.concat(F.repeat(F.lit("#"), F.col("pos") % 4), F.lit(" "), F.col("text")).alias("text"))
+    return histogram(marked)
+
+
+BORDERS = "truth as (select doc_id, pos as p, 1 + pos % 3 as level from lines where pos % 2 = 0), found as (select doc_id, pos as p, 1 + (pos // 2) % 3 as level from lines where pos % 3 = 0)"
+
+
+@query(f"""with {LINES}, {BORDERS}, c as (select level, sum(a) as n_truth, sum(b) as n_found, sum(c) as n_both from (
+  select level, 1 as a, 0 as b, 0 as c from truth union all select level, 0, 1, 0 from found union all select level, 0, 0, 1 from truth join found using (doc_id, p, level)) group by level)
+select level::int as level, n_truth::bigint as n_truth, n_found::bigint as n_found, n_both::bigint as n_both, n_both / (n_found + 1e-20) as precision, n_both / (n_truth + 1e-20) as recall,
+  2 * (n_both / (n_found + 1e-20)) * (n_both / (n_truth + 1e-20)) / (n_both / (n_found + 1e-20) + n_both / (n_truth + 1e-20) + 1e-20) as f1 from c""")
+def boundary_prf(spark: SparkSession, d: str) -> DataFrame:
+    lines = lines_of(table(spark, d, "documents")).withColumnRenamed("pos", "p")
+    truth = lines.where("p % 2 = 0").select("doc_id", "p", (1 + F.col("p") % 3).alias("level"))
+    found = lines.where("p % 3 = 0").select("doc_id", "p", (1 + F.floor(F.col("p") / 2) % 3).cast("int").alias("level"))
+    return evaluation.precision_recall_f1(evaluation.boundary_counts(truth, found))
+
+
+# --- retrieval
+
+
+@query("""with s as (select q.vec_id as qid, p.vec_id as chunk, list_inner_product(q.embedding::double[], p.embedding::double[]) as score from embeddings q join embeddings p on p.label = q.label where q.vec_id % 20 = 0)
+select qid, row_number() over (partition by qid order by score desc, chunk)::int as rank, chunk, score from s qualify rank <= 10""")
+def knn_local(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk"), "label", F.col("embedding").alias("vec"))
+    return retrieval.search_local(rows.where("chunk % 20 = 0").withColumnRenamed("chunk", "qid"), rows, 10, "label")
+
+
+@query("""with s as (select q.vec_id as qid, p.vec_id as chunk, list_inner_product(q.embedding::double[], p.embedding::double[]) as score from embeddings q, embeddings p where q.vec_id % 20 = 0)
+select qid, row_number() over (partition by qid order by round(score, 9) desc, chunk)::int as rank, chunk, round(score, 9) as score from s qualify rank <= 10""")
+def knn_global(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk"), F.col("embedding").alias("vec"))
+    found = retrieval.search_global(rows.where("chunk % 20 = 0").withColumnRenamed("chunk", "qid"), rows, 12)
+    again = found.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk")))
+    return again.where("rank <= 10")
+
+
+@query()
+def knn_approximate(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk"), F.col("embedding").alias("vec"))
+    return retrieval.search_approximate(rows.where("chunk % 20 = 0").withColumnRenamed("chunk", "qid"), rows, 10)
+
+
+@query()
+def embed_search(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark passages as questions against fixed chunks, embedded with the hashing encoder."""
+    chunks = chunking.fixed_chunks(table(spark, d, "documents")).withColumn("chunk", F.xxhash64("chunk_id"))
+    passages = retrieval.embed(chunks.withColumn("text", retrieval.passage_text(F.lit(None).cast("string"), F.col("text"), lower=True)))
+    questions = retrieval.embed(table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.lower("text").alias("text")))
+    found = retrieval.search_global(questions, passages, 8)
+    return found.join(chunks.select("chunk", "chunk_id"), "chunk").select("qid", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query("""with n as (select vec_id, row_number() over (order by vec_id) - 1 as i, count(*) over () as n from embeddings) select vec_id, least(i // (n // 7), 6)::int as shard from n""")
+def shard_assign(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select("vec_id")
+    total = rows.count()
+    # The ordinal of a key is the number of smaller keys, counted in ranges of keys and within each.
+    part = F.floor(F.col("vec_id") / 1024)
+    sizes = rows.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    ranked = rows.withColumn("_p", part).withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("vec_id")))
+    return ranked.join(starts, "_p").select("vec_id", retrieval.shard_ids(F.col("_before") + F.col("_i") - 1, F.lit(total), 7).alias("shard"))
+
+
+@query("select user_id, event_type, min(event_id) as event_id from events group by user_id, event_type")
+def first_occurrence(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("user_id", "event_type", "event_id")
+    return retrieval.first_occurrences(rows, ["user_id", "event_type"], ["event_id"])
+
+
+@query("select doc_id as index, lang as input, doc_id::varchar as _id, list_value(doc_id || '_0', doc_id || '_1') as retrieved_ids from documents")
+def merge_outputs(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("index"), F.col("lang").alias("input"), F.col("doc_id").cast("string").alias("_id"))
+    ids = F.array(F.concat("_id", F.lit("_0")), F.concat("_id", F.lit("_1")))
+    return retrieval.merge_results(docs, docs.select("index", "input", F.col("_id").alias("id"), ids.alias("retrieved_ids")))
+
+
+@query("select doc_id as index, case when doc_id % 3 = 0 then source end as pred, doc_id % 3 <> 0 or source is null as todo from documents")
+def resume_history(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("index"), F.col("source").alias("pred"))
+    return retrieval.resume(docs.select("index"), docs.where("index % 3 = 0"))
+
+
+@query("select key, v from (select doc_id as key, lang as v, 0 as l from documents union all select doc_id, source, 1 from documents where doc_id % 2 = 0) qualify row_number() over (partition by key order by l desc) = 1")
+def last_wins(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    old, new = docs.select(F.col("doc_id").alias("key"), F.col("lang").alias("v")), docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("key"), F.col("source").alias("v"))
+    return retrieval.last_wins(old, new, key="key")
+
+
+@query("select conv_id, len(list(turn)) as n, string_agg(text, '|' order by turn) as questions from conversations group by conv_id")
+def qa_by_doc(spark: SparkSession, d: str) -> DataFrame:
+    from lodestack.sources.readers import questions_by_document
+
+    qas = table(spark, d, "conversations").select(F.col("conv_id").alias("_id"), F.col("turn").alias("index"), F.col("text").alias("input"), F.array().cast("array<string>").alias("answers"))
+    grouped = questions_by_document(qas)
+    return grouped.select(F.col("_id").alias("conv_id"), F.size("questions").cast("long").alias("n"), F.array_join(F.transform("questions", lambda q: q["input"]), "|").alias("questions"))
+
+
+# --- context
+
+
+RANKED = f"with recursive {CHUNKS}, ranked as (select source as qid, row_number() over (partition by source order by doc_id, ordinal) as rank, doc_id || '_' || ordinal as chunk_id, c.text from chunks c join documents using (doc_id))"
+
+
+@query(f"""{RANKED}, k as (select *, len({spaced('text')}) as n from ranked), b as (select *, coalesce(sum(n) over (partition by qid order by rank rows between unbounded preceding and 1 preceding), 0) as before from k),
+c as (select qid, string_agg(text, chr(10) || chr(10) order by rank) as t, sum(n) as total, count(*) as m from b where before < 500 group by qid)
+select qid, case when total > 500 then array_to_string({spaced('t')}[1:500], ' ') else t end as context, m::int as n_chunks from c""")
+def context_budget(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    chunks = chunking.fixed_chunks(docs).join(docs.select("doc_id", "source"), "doc_id")
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id", "ordinal"))
+    return context.budget_context(chunks.select(F.col("source").alias("qid"), rank.alias("rank"), "chunk_id", "text"), 500)
+
+
+@query("""select o_orderkey, c >= p / 3 * (1 + t / 4096) and s >= 2 and 3 * s - s <= 4096 - t as merges from (select o_orderkey, o_totalprice as c, o_totalprice * 2.5 as p, (o_orderkey % 4000)::double as t, (o_orderkey % 5)::int as s from orders)""")
+def merge_condition(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    price, siblings = F.col("o_totalprice"), (F.col("o_orderkey") % 5).cast("int")
+    test = context.merge_test(price, siblings, price * 2.5, 3 * siblings, siblings, (F.col("o_orderkey") % 4000).cast("double"), F.lit(4096))
+    return o.select("o_orderkey", test.alias("merges"))
+
+
+@query()
+def auto_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Every third leaf of each document as a ranked result, merged into parents within 300 words."""
+    splits = splits_of(table(spark, d, "documents")).where(~fn.is_blank(F.col("text")))
+    chunks = chunking.leaf_chunks(splits)
+    nodes = chunking.leaf_nodes(chunking.tree_nodes(splits), chunks)
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("ordinal") % 3, "ordinal"))
+    ranked = chunks.select(F.col("doc_id").alias("qid"), rank.alias("rank"), "doc_id", "ordinal")
+    return context.auto_merge_contexts(ranked, chunks, nodes, 300)
+
+
+# --- evaluation
+
+
+@query(f"with {PAIRS}, t as (select conv_id, turn, list_filter(string_split({norm('pred')}, ' '), lambda w: w <> '') as a, list_filter(string_split({norm('truth')}, ' '), lambda w: w <> '') as b from pairs), c as (select *, list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w))))) as o from t) select conv_id, turn, round(case when o > 0 then 2.0 * (o / len(a)) * (o / len(b)) / (o / len(a) + o / len(b)) else 0 end, 9) as f1 from c")
+def qa_f1(spark: SparkSession, d: str) -> DataFrame:
+    return pairs_of(spark, d).select("conv_id", "turn", F.round(metrics.qa_f1(F.col("pred"), F.col("truth")), 9).alias("f1"))
+
+
+@query()
+def rouge_l(spark: SparkSession, d: str) -> DataFrame:
+    return pairs_of(spark, d).select("conv_id", "turn", F.round(metrics.rouge_l("pred", "truth"), 9).alias("f"))
+
+
+@query()
+def bleu(spark: SparkSession, d: str) -> DataFrame:
+    return pairs_of(spark, d).select("conv_id", "turn", F.round(metrics.bleu(fn.split_space(F.col("pred")), fn.split_space(F.col("truth")), 2), 9).alias("bleu"))
+
+
+HIT = f"select item_id, doc_id, source, b.text as evidence, length(b.text) as n, contains({norm('d.text')}, {norm('b.text')}) as hit from benchmark b, documents d"
+
+
+@query(f"select item_id, doc_id from ({HIT}) where hit")
+def evidence_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The stated evidences against all documents: the table of evidences is sent only if it is small, else in blocks."""
+    items = table(spark, d, "benchmark").select("item_id", fn.normalize_answer(F.col("text")).alias("e"))
+    docs = table(spark, d, "documents").select("doc_id", fn.normalize_answer(F.col("text")).alias("t"))
+    found = None
+    rows = items.collect()
+    for a in range(0, len(rows), 1024):
+        block = F.array(*[F.struct(F.lit(r["item_id"]).alias("i"), F.lit(r["e"]).alias("e")) for r in rows[a : a + 1024]])
+        part = docs.select("doc_id", F.explode(F.filter(block, lambda x: F.contains(F.col("t"), x["e"]))).alias("x")).select(F.col("x.i").alias("item_id"), "doc_id")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query(f"""with recursive {CHUNKS}, c as (select doc_id, {norm('c.text')} as t from chunks c), b as (select item_id, {norm('text')} as e, length(text) as n from benchmark),
+whole as (select item_id, doc_id from b, documents d where contains({norm('d.text')}, e)),
+h as (select w.item_id, w.doc_id, b.n, max(case when contains(c.t, b.e) then 1.0 else 0.0 end) as hit from whole w join b using (item_id) join c using (doc_id) group by all)
+select source, round(sum(hit * n) / (sum(n) + 1e-20), 9) as recall, count(*) as n_evidences from h join documents using (doc_id) group by source""")
+def evidence_survival(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the evidence that a document holds stands whole in one of its fixed-size chunks, by source."""
+    held = evidence_pairs(spark, d)
+    items = table(spark, d, "benchmark").select("item_id", "text")
+    docs = table(spark, d, "documents")
+    chunks = chunking.fixed_chunks(docs.join(held.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", F.col("text").alias("chunk"))
+    hits = held.join(items, "item_id").join(chunks, "doc_id").groupBy("item_id", "doc_id", F.char_length("text").alias("n")).agg(F.max(metrics.evidence_hit(F.col("text"), F.col("chunk"))).alias("hit"))
+    rows = hits.join(docs.select("doc_id", "source"), "doc_id")
+    return rows.groupBy("source").agg(F.round(F.sum(F.col("hit") * F.col("n")) / (F.sum("n") + evaluation.TINY), 9).alias("recall"), F.count(F.lit(1)).alias("n_evidences"))
+
+
+@query(f"""with {PAIRS}, s as (select conv_id, turn, turn % 3 as a, case when length(pred) > 0 then least(1.0, length(truth) / length(pred)) else 0 end as v from pairs), m as (select conv_id, a, avg(v) as m from s group by all), b as (select conv_id, greatest(max(m), 0) as b from m group by conv_id)
+select (conv_id % 5)::int as dataset, round(100 * sum(b) / (count(*) + 1e-20), 2) as score, count(*) as n from b group by 1""")
+def dataset_scores(spark: SparkSession, d: str) -> DataFrame:
+    score = F.when(F.char_length("pred") > 0, F.least(F.lit(1.0), F.char_length("truth") / F.char_length("pred"))).otherwise(0.0)
+    rows = pairs_of(spark, d).withColumn("dataset", (F.col("conv_id") % 5).cast("int")).withColumn("answer_idx", F.col("turn") % 3)
+    return evaluation.dataset_scores(rows, ["dataset"], "conv_id", score)
+
+
+@query("select doc_id, coalesce(nullif((doc_id % 2)::double, 0), nullif((doc_id % 3)::double, 0)) as score from documents")
+def ret_score_fallback(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    return table(spark, d, "documents").select("doc_id", evaluation.retrieval_score((i % 2).cast("double"), (i % 3).cast("double")).alias("score"))
+
+
+@query("select doc_id from documents left join labels l using (doc_id) where l.doc_id is null or toxic = 1")
+def class_filter(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "labels").select("doc_id", F.array_compact(F.array(F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic"))).alias("all_classes"))
+    return evaluation.class_filter(table(spark, d, "documents").select("doc_id").join(labels, "doc_id", "left"), "toxic").select("doc_id")
+
+
+@query("""with r as (select l_orderkey as item, l_linenumber % 2 as response, avg(case when l_returnflag = 'R' then 1 else 0 end) as rate, count(*) as n from lineitem group by all),
+p as (select item, avg(rate) as r, max(n) as n, stddev_pop(rate) as d from r group by item)
+select round(100 * sum(r * n) / (sum(n) + 1e-20), 6) as recall, round(avg(d), 6) as spread from p""")
+def fact_coverage(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), (F.col("l_linenumber") % 2).alias("response"), (F.col("l_returnflag") == "R").cast("int").alias("attributed"))
+    return evaluation.micro_recall(evaluation.fact_recall(rows, "item"), "item").select(F.round("recall", 6).alias("recall"), F.round("spread", 6).alias("spread"))
+
+
+@query("select doc_id, qid from (select d.doc_id, c.conv_id as qid from documents d join (select distinct conv_id from conversations) c on c.conv_id = d.doc_id)")
+def semi_join_datasets(spark: SparkSession, d: str) -> DataFrame:
+    talks = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"))
+    return table(spark, d, "documents").select("doc_id").join(talks, "doc_id", "left_semi").select("doc_id", F.col("doc_id").alias("qid"))
+
+
+@query()
+def training_samples(spark: SparkSession, d: str) -> DataFrame:
+    from lodestack.operators.training import training_samples as samples
+
+    marked = lines_of(table(spark, d, "documents")).withColumn("text", F.when(F.col("pos") % 6 == 0, F.concat(F.lit("# "), "text")).when(F.col("pos") % 3 == 0, F.concat(F.lit("## "), "text")).otherwise(F.col("text")))
+    return samples(marked, window=400)
+
+
+@query()
+def model_chunks(spark: SparkSession, d: str) -> DataFrame:
+    from lodestack.operators.deciders import model_chunks as chunks
+
+    return chunks(table(spark, d, "documents"), window=300)
+
+
+@query()
+def paragraph_chunks(spark: SparkSession, d: str) -> DataFrame:
+    from lodestack.operators.deciders import paragraph_chunks as chunks
+
+    return chunks(table(spark, d, "documents"), target=100)
+
+
+@query()
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """The deterministic answer generator on each turn, with its context the turn before."""
+    from lodestack.operators.deciders import generate
+
+    rows = pairs_of(spark, d).select("conv_id", "turn", F.col("pred").alias("context"), F.col("truth").alias("input"))
+    return generate(rows, fn.fill_template("{context}\n\nQuestion: {input}\n", context=F.col("context"), input=F.col("input")))

@@ -41,7 +41,7 @@ GRAM = 32
 #: Bytes that are hashed, or put into one suffix array, at a time.
 SLICE, BLOCK = 1 << 20, 1 << 20
 #: An anchor with more classes goes the way of counted windows.
-MANY = 2048
+MANY = 6000
 #: One in so many documents is looked at for anchors that are dealt out salted; this steers the dealing alone.
 SAMPLED, SAMPLED_MANY, MAX_SALTED, SALTS = 64, 100, 20_000, 64
 _BYTE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -227,7 +227,7 @@ def _classes():
         several = np.bincount(group, weights=~same)[group] > 1
         open_ = ~none & ~same & (several | (salt > 0))
         take = repeat | open_
-        return _table(open=open_[take].astype(np.int64), anchor=anchor[take], doc=doc[take], lo=lo[take], hi=hi[take])
+        return _table(open=open_[take].astype(np.int64), anchor=anchor[take], doc=doc[take], pos=pos[take], lo=lo[take], hi=hi[take])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -259,18 +259,43 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each document's open contexts."""
     for batch in batches:
         docs, texts = _long(batch, "doc"), _binary(batch, "text")
-        out: list[tuple[int, int, int, bytes]] = []
+        out: list[tuple[int, int, int, int, bytes]] = []
         for doc, text, own in zip(docs.tolist(), texts, batch.column(batch.schema.get_field_index("own")).to_pylist()):
-            out += [(x["anchor"], doc, x["lo"], text[x["lo"] : x["hi"]]) for x in own]
-        cols = list(zip(*out)) if out else [[]] * 4
-        yield _table(anchor=cols[0], doc=cols[1], lo=cols[2], bytes=pa.array(cols[3], pa.binary()))
+            out += [(x["anchor"], doc, x["lo"], x["pos"] - x["lo"], text[x["lo"] : x["hi"]]) for x in own]
+        cols = list(zip(*out)) if out else [[]] * 5
+        yield _table(anchor=cols[0], doc=cols[1], lo=cols[2], at=cols[3], bytes=pa.array(cols[4], pa.binary()))
+
+
+def core_keys(text: bytes, at: int, anchor: int, least: int) -> list[int]:
+    """Hashes of the parts of a context, four at most, of which every window with the anchor at ``at`` holds one whole.
+
+    A window reaches 0 to ``least`` - GRAM bytes to the left of the anchor; the
+    windows of a quarter of that range share all but a few of their bytes.
+    """
+    span = least - GRAM
+    edges = [span * i // 4 for i in range(5)]
+    out = []
+    for i in range(4):
+        near, far = edges[i] + (i > 0), edges[i + 1]
+        end = at + GRAM + span - far
+        if near <= at and end <= len(text):
+            out.append(xxhash.xxh3_64_intdigest(text[at - near : end], (anchor + i) & 0xFFFFFFFFFFFFFFFF))
+    return out
 
 
 def _compared(least: int):
     """Intervals that repeat, from the suffix arrays of blocks of contexts; an anchor's contexts stand in one block."""
 
     def block(rows):
-        docs, los, texts = rows[1], rows[2], rows[3]
+        # A context none of whose core parts another of its anchor has can't repeat, and stays out of the suffix array.
+        keys = [core_keys(text, at, anchor, least) for anchor, at, text in zip(rows[0], rows[3], rows[4])]
+        flat = np.array([k for own in keys for k in own], np.uint64)
+        if not len(flat):
+            return _table(doc=[], lo=[], hi=[])
+        _, where, times = np.unique(flat, return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(keys)), [len(own) for own in keys])
+        stay = np.unique(owner[times[where] > 1])
+        docs, los, texts = ([column[i] for i in stay] for column in (rows[1], rows[2], rows[4]))
         found: dict[int, list[tuple[int, int]]] = {}
         for length, places in maximal_repeats(texts, least):
             spots = [(docs[t], los[t] + p) for t, p in places]
@@ -286,14 +311,14 @@ def _compared(least: int):
         return _table(doc=cols[0], lo=cols[1], hi=cols[2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
+        held: list[list] = [[], [], [], [], []]
         size = 0
         for batch in batches:
-            for anchor, doc, lo, text in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("anchor", "doc", "lo", "bytes"))):
+            for anchor, doc, lo, at, text in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("anchor", "doc", "lo", "at", "bytes"))):
                 if size >= BLOCK and anchor != held[0][-1]:
                     yield block(held)
-                    held, size = [[], [], [], []], 0
-                for column, value in zip(held, (anchor, doc, lo, text)):
+                    held, size = [[], [], [], [], []], 0
+                for column, value in zip(held, (anchor, doc, lo, at, text)):
                     column.append(value)
                 size += len(text)
         if size:
@@ -302,6 +327,20 @@ def _compared(least: int):
     return run
 
 
+def _cores(least: int):
+    """(core, doc, lo): the core keys of each context, to find those that occur once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for anchor, doc, lo, at, text in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("anchor", "doc", "lo", "at", "bytes"))):
+                out += [(k - 2**63, doc, lo) for k in core_keys(text, at, anchor, least)]
+            cols = list(zip(*out)) if out else [[]] * 3
+            yield _table(core=cols[0], doc=cols[1], lo=cols[2])
+
+    return run
+
+
 def _windows(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,17 +397,20 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     else:
         salted = found.withColumn("salt", F.lit(0).cast("long"))
     sorted_ = salted.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "class", "doc", "pos")
-    settled = materialize(sorted_.select("salt", "anchor", "class", "doc", "pos", "lo", "hi").mapInArrow(_classes(), "open long, anchor long, doc long, lo long, hi long"), "settled")
+    settled = materialize(sorted_.select("salt", "anchor", "class", "doc", "pos", "lo", "hi").mapInArrow(_classes(), "open long, anchor long, doc long, pos long, lo long, hi long"), "settled")
     del found, few, salted, sorted_
     _forget(spark)
 
     opened = settled.where("open = 1")
-    own = opened.groupBy("doc").agg(F.collect_list(F.struct("anchor", "lo", "hi")).alias("own"))
-    bytes_ = materialize(docs.dropna(subset=["text"]).join(own, "doc").mapInArrow(_cut_out, "anchor long, doc long, lo long, bytes binary"), "contexts")
+    own = opened.groupBy("doc").agg(F.collect_list(F.struct("anchor", "pos", "lo", "hi")).alias("own"))
+    bytes_ = materialize(docs.dropna(subset=["text"]).join(own, "doc").mapInArrow(_cut_out, "anchor long, doc long, lo long, at long, bytes binary"), "contexts")
     crowded = materialize(opened.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY).select("anchor"), "crowded")
     usual = bytes_.join(crowded, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
     compared = usual.mapInArrow(_compared(least), "doc long, lo long, hi long")
-    windows = bytes_.join(crowded, "anchor", "left_semi").mapInArrow(_windows(least), "window binary, doc long, lo long")
+    cores = bytes_.join(crowded, "anchor", "left_semi").mapInArrow(_cores(least), "core long, doc long, lo long")
+    again = materialize(cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core"), "cores")
+    alike = materialize(cores.join(again, "core").select("doc", "lo").distinct(), "alike")
+    windows = bytes_.join(crowded, "anchor", "left_semi").join(alike, ["doc", "lo"], "left_semi").mapInArrow(_windows(least), "window binary, doc long, lo long")
     firsts = materialize(windows.groupBy("window").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("window", "first"), "firsts")
     counted = windows.join(firsts, "window").where((F.col("doc") != F.col("first.doc")) | (F.col("lo") != F.col("first.lo"))).select("doc", "lo", (F.col("lo") + least).alias("hi"))
     spans = materialize(settled.where("open = 0").select("doc", "lo", "hi").union(compared).union(counted), "spans")

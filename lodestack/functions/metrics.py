@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from lodestack.functions.text import normalize_answer, normalize_zh_answer
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two token arrays."""
     count = lambda tokens, w: F.size(F.filter(tokens, lambda x: x == w))
@@ -21,9 +26,12 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def token_f1(pred: Column, truth: Column) -> Column:
-    both = overlap(pred, truth)
-    precision, recall = both / F.size(pred), both / F.size(truth)
-    return F.when(both > 0, 2 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
+    def score(t: Column) -> Column:
+        precision, recall = t["o"] / F.size(t["a"]), t["o"] / F.size(t["b"])
+        return F.when(t["o"] > 0, 2 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
+
+    both = F.struct(pred.alias("a"), truth.alias("b"))
+    return bound(both, lambda t: bound(F.struct(t["a"].alias("a"), t["b"].alias("b"), overlap(t["a"], t["b"]).alias("o")), score))
 
 
 def _tokens(s: Column) -> Column:
@@ -113,13 +121,15 @@ def bleu(pred: Column, truth: Column, order: int = 4) -> Column:
         whole = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), "\u0001"))
         return F.when(F.size(tokens) >= n, whole).otherwise(F.array().cast("array<string>"))
 
-    logs = F.lit(0.0)
-    for n in range(1, order + 1):
-        a, b = grams(pred, n), grams(truth, n)
-        hit = overlap(a, b)
-        logs = logs + F.when(hit > 0, F.log(hit / F.size(a))).otherwise(F.lit(None)) / order
-    short = F.when(F.size(pred) >= F.size(truth), F.lit(0.0)).otherwise(1 - F.size(truth) / F.size(pred))
-    return F.coalesce(F.exp(logs + short), F.lit(0.0))
+    def score(t: Column) -> Column:
+        logs = F.lit(0.0)
+        for n in range(1, order + 1):
+            part = bound(F.struct(grams(t["a"], n).alias("a"), grams(t["b"], n).alias("b")), lambda g: overlap(g["a"], g["b"]) / F.nullif(F.size(g["a"]), F.lit(0)))
+            logs = logs + bound(part, lambda p: F.when(p > 0, F.log(p))) / order
+        short = F.when(F.size(t["a"]) >= F.size(t["b"]), F.lit(0.0)).otherwise(1 - F.size(t["b"]) / F.nullif(F.size(t["a"]), F.lit(0)))
+        return F.coalesce(F.exp(logs + short), F.lit(0.0))
+
+    return bound(F.struct(pred.alias("a"), truth.alias("b")), score)
 
 
 #: The metric of each data set, and the metric's function.

@@ -52,12 +52,16 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """The text's symbols after all merges, best score first, leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(range(len(parts) - 1), key=lambda i: (self.scores.get(parts[i] + parts[i + 1], -INFINITE), -i))
-            if parts[best] + parts[best + 1] not in self.scores:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        parts, score = list(text), self.scores.get
+        pairs = [score(a + b, -INFINITE) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := max(pairs)) > -INFINITE:
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + parts[i], -INFINITE)
+            if i < len(pairs):
+                pairs[i] = score(parts[i] + parts[i + 1], -INFINITE)
         return parts
 
     def _follows(self, left: str, right: str) -> float:

@@ -100,7 +100,13 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
 
 
 def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(length, [(text, position), ...]) of each maximal repeat of ``least`` bytes or more, with all its occurrences.
+    """(length, [(text, position), ...]) of each maximal repeat of ``least`` bytes or more, with all its occurrences."""
+    owner, place, found = repeat_intervals(texts, least)
+    return [(length, list(zip(owner[a:b].tolist(), place[a:b].tolist()))) for length, a, b in found]
+
+
+def repeat_intervals(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Text and position of each suffix in order, and (length, first, end) of the maximal repeats among them.
 
     A repeat is maximal if its occurrences can't all be extended alike to the
     right (it is an interval of the suffix array with a longest common prefix)
@@ -115,7 +121,7 @@ def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tupl
     room = ends[owner] - at
     starts = np.flatnonzero(room >= least)
     if len(starts) < 2:
-        return []
+        return starts, starts, []
     # Ranks of the 7, 14, 28 ... bytes from each position, by doubling; a text's end counts as less than any byte.
     word = np.zeros(n, np.uint64)
     for i in range(7):
@@ -140,22 +146,24 @@ def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[int, list[tupl
         common += same
     common = np.minimum(common, most)
     before = np.where(at == (ends - sizes)[owner], -1, np.concatenate([[0], data[: n - 1]]).astype(np.int64))
-    base = ends - sizes
-    out = []
+    chars = before[order]
+    # How often the byte before changes along the order; a suffix without one differs from its neighbours.
+    turns = np.cumsum(np.r_[0, (chars[1:] != chars[:-1]) | (chars[1:] == -1)]).tolist()
+    alone = (chars == -1).tolist()
+    values = common.tolist()
+    out: list[tuple[int, int, int]] = []
     edges = np.flatnonzero(np.diff(np.r_[False, common >= least, False].astype(np.int8)))
     for begin, end in edges.reshape(-1, 2):
         stack: list[tuple[int, int]] = []
         for i in range(begin, end + 1):
-            now, left = (int(common[i]) if i < end else 0), i
+            now, left = (values[i] if i < end else 0), i
             while stack and stack[-1][1] > now:
                 left, length = stack.pop()
-                own = order[left : i + 1]
-                chars = before[own]
-                if (chars[0] == -1) or (chars != chars[0]).any():
-                    out.append((length, [(int(owner[p]), int(p - base[owner[p]])) for p in own]))
+                if alone[left] or turns[i] > turns[left]:
+                    out.append((length, left, i + 1))
             if now >= least and (not stack or stack[-1][1] < now):
                 stack.append((left, now))
-    return out
+    return owner[order], order - (ends - sizes)[owner[order]], out
 
 
 def _binary(batch: pa.RecordBatch, name: str) -> list[bytes]:
@@ -296,19 +304,27 @@ def _compared(least: int):
         owner = np.repeat(np.arange(len(keys)), [len(own) for own in keys])
         stay = np.unique(owner[times[where] > 1])
         docs, los, texts = ([column[i] for i in stay] for column in (rows[1], rows[2], rows[4]))
-        found: dict[int, list[tuple[int, int]]] = {}
-        for length, places in maximal_repeats(texts, least):
-            spots = [(docs[t], los[t] + p) for t, p in places]
-            first = min(spots)
-            for spot in set(spots):
-                if spot != first:
-                    found.setdefault(spot[0], []).append((spot[1], spot[1] + length))
-        out = []
-        for doc, spans in found.items():
-            lo, hi = union(*np.array(spans, np.int64).T)
-            out += [(doc, int(x), int(y)) for x, y in zip(lo, hi)]
-        cols = list(zip(*out)) if out else [[]] * 3
-        return _table(doc=cols[0], lo=cols[1], hi=cols[2])
+        owner, place, found = repeat_intervals(texts, least)
+        if not found:
+            return _table(doc=[], lo=[], hi=[])
+        doc, spot = np.array(docs, np.int64)[owner], np.array(los, np.int64)[owner] + place
+        order = np.lexsort((spot, doc))
+        new = np.r_[True, (doc[order][1:] != doc[order][:-1]) | (spot[order][1:] != spot[order][:-1])]
+        age = np.empty(len(order), np.int64)
+        age[order] = np.cumsum(new)  # one spot has one age, in however many contexts it stands
+        reach = np.zeros(len(order), np.int64)  # the longest repeat at each suffix that is not its earliest occurrence
+        for length, a, b in found:
+            own = age[a:b]
+            part = reach[a:b]
+            np.maximum(part, length, out=part, where=own != own.min())
+        hit = np.flatnonzero(reach)
+        if not len(hit):
+            return _table(doc=[], lo=[], hi=[])
+        hit = hit[np.argsort(doc[hit], kind="stable")]
+        d, x, y = doc[hit], spot[hit], spot[hit] + reach[hit]
+        cuts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+        spans = [(d[i], *union(x[i:j], y[i:j])) for i, j in zip(cuts, np.r_[cuts[1:], len(d)])]
+        return _table(doc=np.concatenate([np.full(len(lo), own) for own, lo, _ in spans]), lo=np.concatenate([lo for _, lo, _ in spans]), hi=np.concatenate([hi for *_, hi in spans]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], [], []]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,45 +14,104 @@ from lodestack.functions import text as fn
 INSTRUCTION = "Mark the numbered sentences where a section starts, with its level and whether it is a heading."
 
 
-def training_samples(lines: DataFrame, window: int = 8192, least: int = 50, max_level: int = 10, key: str = "doc_id") -> DataFrame:
+def _residual(annotation: list[list[list]], f: int, s: int, rng: random.Random) -> list:
+    """Lines carried into the next sample: of the segment before (or not) and of this one up to part ``s``, the first part and up to four others, 1 to 20 lines of each."""
+    carried = []
+    for i in range(max(0, f - rng.randint(0, 1)), f + 1):
+        first, rest = annotation[i][0], annotation[i][1 : s + 1] if i == f else annotation[i][1:]
+        carried += [first, *rng.sample(rest, rng.randint(min(1, len(rest)), min(4, len(rest))))]
+    return [x for part in carried for x in part[: rng.randint(1, 20)]]
+
+
+def _samples(lines: list, window: int, least: int, max_level: int, omit_p: float, shuffle_p: float, rng: random.Random) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
+    """(numbered lines, points) of each sample of one document's lines."""
+    annotation: list[list[list]] = []
+    for x in lines:
+        if not annotation or x["level"] == 1:
+            annotation.append([[x]])
+        elif x["level"] == 2:
+            annotation[-1].append([x])
+        else:
+            annotation[-1][-1].append(x)
+    if rng.random() < shuffle_p:
+        rng.shuffle(annotation)
+
+    shown: list[str] = []
+    points: list[tuple[int, int]] = []
+    used = len(INSTRUCTION.split())
+
+    def show(x) -> None:
+        nonlocal used
+        text = x["text"].lstrip("# ") if x["level"] else x["text"]
+        shown.append(f"{len(shown)} @ {text}")
+        used += 2 + x["n_shown"]
+
+    for f, segment in enumerate(annotation):
+        n = sum(map(len, segment))
+        if sum(x["n"] for part in segment for x in part) <= least:
+            continue
+        if rng.random() < omit_p:
+            annotation[f] = segment = segment[: rng.randint(min(n, 5), min(n, 15))]
+        for s, part in enumerate(segment):
+            if rng.random() < omit_p:
+                part = part[: rng.randint(min(len(part), 15), min(len(part), 25))]
+            for x in part:
+                if used >= window:
+                    break
+                if 0 < x["level"] <= max_level:
+                    points.append((len(shown), x["level"]))
+                show(x)
+            if used >= window:
+                yield shown, points
+                shown, points, used = [], [], len(INSTRUCTION.split())
+                carried = _residual(annotation, f, s, rng)
+                if used + sum(2 + x["n_shown"] for x in carried) < window:
+                    for x in carried:
+                        show(x)
+                break
+    yield shown, points
+
+
+def training_samples(lines: DataFrame, window: int = 8192, least: int = 50, max_level: int = 10, key: str = "doc_id", omit_p: float = 0.0, shuffle_p: float = 0.0, seed: int = 1) -> DataFrame:
     """(key, instruction, input, output, n_lines) of lines (key, pos, text) with # headings.
 
-    First-level segments of at most ``least`` words are left out. A segment's
-    lines fill one window; where a second-level segment overflows it, the sample
-    ends with the line that does, and the rest of the first-level segment goes.
+    First-level segments of at most ``least`` words are left out; the others fill
+    one window, counted in words of the instruction and the numbered lines. A
+    sample ends with the line that fills it; the rest of that first-level segment
+    goes, and the next sample opens with residual lines, which have no points and
+    are left out where they alone would fill the window.
+    What is left at the end of a document is its last sample, even without points.
+
+    With probability ``shuffle_p`` a document's first-level segments are shuffled;
+    with ``omit_p`` a first-level segment keeps 5 to 15 of its second-level ones,
+    and one of these 15 to 25 of its lines. Choices hang on ``seed`` and the key alone.
     """
     kind = lines.schema[key].dataType.simpleString()
-    leveled = lines.where("text <> ''").select(F.col(key).alias("key"), "pos", "text", fn.heading_level(F.col("text")).alias("level"), F.size(fn.split_space(F.col("text"))).alias("n"))
-    per_doc = leveled.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "level", "n"))).alias("lines"))
+    plain = F.when(fn.heading_level(F.col("text")) > 0, F.regexp_replace("text", "^[ #]*", "")).otherwise(F.col("text"))
+    leveled = lines.where("text <> ''").select(F.col(key).alias("key"), "pos", "text", fn.heading_level(F.col("text")).alias("level"), F.size(fn.split_space(F.col("text"))).alias("n"), F.size(fn.split_space(plain)).alias("n_shown"))
+    per_doc = leveled.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "level", "n", "n_shown"))).alias("lines")).withColumn("seed", F.xxhash64("key", F.lit(seed)))
     names = "One Two Three Four Five Six Seven Eight Nine Ten".split()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, own in zip(batch["key"], batch["lines"]):
-                segments: list[list] = []
-                for x in own:
-                    if not segments or x["level"] == 1:
-                        segments.append([])
-                    segments[-1].append(x)
-                for segment in segments:
-                    if sum(x["n"] for x in segment) <= least:
-                        continue
-                    shown, points, used = [], [], 0
-                    for x in segment:
-                        if 0 < x["level"] <= max_level:
-                            points.append((len(shown), x["level"]))
-                        shown.append(x["text"].lstrip("# "))
-                        used += x["n"]
-                        if used > window:
-                            break
-                    body = "\n".join(f"{i} @ {t}" for i, t in enumerate(shown))
-                    rows.append((doc, INSTRUCTION, body, "\n".join(f"{p}, Level {names[level - 1]}, True" for p, level in points), len(shown)))
+            for doc, own, start in zip(batch["key"], batch["lines"], batch["seed"]):
+                for shown, points in _samples(list(own), window, least, max_level, omit_p, shuffle_p, random.Random(int(start))):
+                    rows.append((doc, INSTRUCTION, "\n".join(shown), "\n".join(f"{p}, Level {names[level - 1]}, True" for p, level in points), len(shown)))
             yield pd.DataFrame(rows, columns=["key", "instruction", "input", "output", "n_lines"])
 
     return per_doc.mapInPandas(run, f"key {kind}, instruction string, input string, output string, n_lines int").withColumnRenamed("key", key)
 
 
+def training_variants(lines: DataFrame, seeds: list[int], **options) -> DataFrame:
+    """The samples with their ``type``: as they are, and per seed with segments shuffled, and shuffled and cut."""
+    out = training_samples(lines, **options).withColumn("type", F.lit("original"))
+    for seed in seeds:
+        for name, omit_p in (("internal_shuffle", 0.0), ("augmented", 1.0)):
+            out = out.unionByName(training_samples(lines, **options, omit_p=omit_p, shuffle_p=1.0, seed=seed).withColumn("type", F.lit(f"{name}_s{seed}")))
+    return out
+
+
 def seeded_variants(samples: DataFrame, seeds: list[int], order: str = "input") -> DataFrame:
     """The samples and, per seed, the same rows with a reproducible sort key ``shuffle`` from a hash of the row and the seed."""
     out = samples.withColumn("variant", F.lit("original")).withColumn("shuffle", F.xxhash64(order))

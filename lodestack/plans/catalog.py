@@ -441,12 +441,23 @@ def semi_join_datasets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id").join(talks, "doc_id", "left_semi").select("doc_id", F.col("doc_id").alias("qid"))
 
 
+def marked_lines(docs: DataFrame) -> DataFrame:
+    """Lines with headings of level one and two by position."""
+    return lines_of(docs).withColumn("text", F.when(F.col("pos") % 6 == 0, F.concat(F.lit("# "), "text")).when(F.col("pos") % 3 == 0, F.concat(F.lit("## "), "text")).otherwise(F.col("text")))
+
+
 @query()
 def training_samples(spark: SparkSession, d: str) -> DataFrame:
     from lodestack.operators.training import training_samples as samples
 
-    marked = lines_of(table(spark, d, "documents")).withColumn("text", F.when(F.col("pos") % 6 == 0, F.concat(F.lit("# "), "text")).when(F.col("pos") % 3 == 0, F.concat(F.lit("## "), "text")).otherwise(F.col("text")))
-    return samples(marked, window=400)
+    return samples(marked_lines(table(spark, d, "documents")), window=400)
+
+
+@query()
+def training_variants(spark: SparkSession, d: str) -> DataFrame:
+    from lodestack.operators.training import training_variants as variants
+
+    return variants(marked_lines(table(spark, d, "documents")), [1], window=400)
 
 
 @query()

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from lodestack.operators import chunking, context, deciders, evaluation, retrieval
-from lodestack.operators.training import seeded_variants, training_samples
+from lodestack.operators.training import INSTRUCTION, seeded_variants, training_samples, training_variants
 
 LEVELS = [1, 2, 3, 1, 2, 3, 3, 3, 3, 4, 4, 3, 4, 1, 2, 3, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4]
 NODES = """(0,0,26) (1,0,3) (2,0,1) (2,1,3) (3,1,2) (3,2,3) (1,3,13) (2,3,4) (2,4,13) (3,4,5) (3,5,6) (3,6,7) (3,7,8) (3,8,11) (4,8,9) (4,9,10) (4,10,11) (3,11,13)
@@ -143,3 +143,55 @@ def test_training_samples(spark):
     got = training_samples(lines, window=100, least=3).collect()
     assert len(got) == 1 and got[0].output == "0, Level One, True\n2, Level Two, True" and got[0].n_lines == 4
     assert seeded_variants(training_samples(lines, least=3), [1, 2]).count() == 3
+
+
+def test_training_samples_fill_one_window_across_segments(spark):
+    texts = [t for i in range(10) for t in (f"# head {i}", f"one two three {i}", f"## part {i}", f"four five six {i}")]
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id long, pos int, text string")
+    whole = training_samples(lines, least=3).collect()
+    assert len(whole) == 1 and whole[0].n_lines == 40
+    assert whole[0].output.split("\n") == [f"{p}, Level {'Two' if p % 4 else 'One'}, True" for p in range(0, 40, 2)]
+
+    window = 100
+    cut = training_samples(lines, window=window, least=3).collect()
+    assert len(cut) > 1
+    plain = [t.lstrip("# ") for t in texts]
+    seen, sizes = 0, []
+    for r in cut:
+        rows = [x.split(" @ ", 1) for x in r.input.split("\n")]
+        assert [int(i) for i, _ in rows] == list(range(r.n_lines))
+        points = [int(x.split(",")[0]) for x in r.output.split("\n")]
+        new = next(i for i, (_, t) in enumerate(rows) if t == plain[seen])
+        carried = [t for _, t in rows[:new]]
+        assert points[0] == new and all(t in plain[max(0, seen - 8) : seen] for t in carried) and bool(carried) == bool(seen)
+        assert [t for _, t in rows[new:]] == plain[seen : seen + r.n_lines - new]
+        # The rest of a first-level segment goes where the window is full in it.
+        seen = -(-(seen + r.n_lines - new) // 4) * 4
+        sizes.append(len(INSTRUCTION.split()) + len(r.input.split()))
+    assert seen == 40 and all(n >= window for n in sizes[:-1]) and sizes[-1] < window + 6
+
+
+def test_training_samples_lose_no_segment_to_long_residual_lines(spark):
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(t for k in range(5) for t in (f"# head {k}", "w " * 200))], "doc_id long, pos int, text string")
+    got = training_samples(lines, window=150).collect()
+    assert [r.input.split("\n")[0] for r in got] == [*(f"0 @ head {k}" for k in range(5)), ""]
+
+
+def test_training_variants_shuffle_and_cut_segments(spark):
+    texts = [t for i in range(6) for t in (f"# head {i}", *(x for j in range(20) for x in (f"## part {i} {j}", *(f"line {i} {j} {k}" for k in range(30)))))]
+    lines = spark.createDataFrame([(d, i, t) for d in (1, 2) for i, t in enumerate(texts)], "doc_id long, pos int, text string")
+    got = training_variants(lines, [1, 2], window=10**6).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, training_variants(lines.repartition(3), [1, 2], window=10**6).collect()))
+    by = {(r.doc_id, r.type): [x.split(" @ ", 1)[1] for x in r.input.split("\n")] for r in got}
+    plain = [t.lstrip("# ") for t in texts]
+    assert len(by) == 10 and by[1, "original"] == by[2, "original"] == plain
+    orders = []
+    for d, seed in ((1, 1), (1, 2), (2, 1), (2, 2)):
+        mixed, less = by[d, f"internal_shuffle_s{seed}"], by[d, f"augmented_s{seed}"]
+        assert sorted(mixed) == sorted(plain)
+        orders.append(tuple(x for x in mixed if x.startswith("head")))
+        assert sum(x.startswith("head") for x in less) == 6
+        for i in range(6):
+            parts = [x for x in less if x.startswith(f"part {i} ")]
+            assert 4 <= len(parts) <= 14 and all(14 <= sum(x.startswith(f"line {i} {p.split()[2]} ") for x in less) <= 24 for p in parts)
+    assert len(set(orders)) > 1

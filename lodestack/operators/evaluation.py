@@ -24,12 +24,41 @@ def evidence_recall_of(evidences: Column, text: Column) -> Column:
     return sums["h"] / (sums["n"] + TINY)
 
 
+def _by_evidence(dataset: Column, evidences: Column) -> Column:
+    """Where a row of these data sets has evidences, even an empty list of them, they count and not the answers."""
+    return dataset.rlike("OHRBench|GutenQA|HiCBench") & evidences.isNotNull()
+
+
+def _retrieval_parts(dataset: Column, evidences: Column, answers: Column) -> Column:
+    """Structs (text, n) of what a retrieval is held against: n is the length before cleaning."""
+    part = lambda text, raw: F.struct(text.alias("text"), F.char_length(raw).alias("n"))
+    whole = F.transform(evidences, lambda e: part(fn.evidence_text(e), e))
+    by_sentence = F.flatten(F.transform(evidences, lambda e: F.transform(fn.sentences_en(e), lambda x: part(fn.strip_heading(x), x))))
+    return F.when(_by_evidence(dataset, evidences), whole).when(dataset == "qasper_all", by_sentence).otherwise(F.transform(answers, lambda a: part(a, a)))
+
+
 def retrieval_target(dataset: Column, evidences: Column, answers: Column) -> Column:
     """What a retrieval is held against: cleaned evidences, sentences of evidences, or the answers."""
-    clean = F.transform(evidences, fn.evidence_text)
-    by_sentence = F.flatten(F.transform(evidences, lambda e: F.transform(fn.sentences_en(e), fn.strip_heading)))
-    with_evidence = dataset.rlike("OHRBench|GutenQA") & (F.size(F.coalesce(evidences, F.array().cast("array<string>"))) > 0)
-    return F.when(with_evidence, clean).when(dataset == "qasper_all", by_sentence).otherwise(answers)
+    return _retrieval_parts(dataset, evidences, answers)["text"]
+
+
+def retrieval_recall(dataset: Column, evidences: Column, answers: Column, text: Column) -> Column:
+    """Share of the target that stands in the text, by length before cleaning; no target gives 0."""
+    parts = F.coalesce(_retrieval_parts(dataset, evidences, answers), F.array().cast("array<struct<text: string, n: int>>"))
+
+    def share(t: Column) -> Column:
+        add = lambda s, x: F.struct((s["h"] + F.contains(t, fn.normalize_answer(x["text"])).cast("double") * x["n"]).alias("h"), (s["n"] + x["n"]).alias("n"))
+        return F.aggregate(parts, F.struct(F.lit(0.0).alias("h"), F.lit(0).alias("n")), add, lambda s: s["h"] / (s["n"] + TINY))
+
+    return metrics.bound(fn.normalize_answer(F.coalesce(text, F.lit(""))), share)
+
+
+def retrieval_scores(rows: DataFrame, dataset: str, evidences: str, answers: str, text: str) -> DataFrame:
+    """(dataset, retrieval): 100 times the mean recall of evidence, where that is 0 of answers, else null."""
+    name = F.col(dataset)
+    scored = rows.select(dataset, (_by_evidence(name, F.col(evidences)) | (name == "qasper_all")).alias("_e"), retrieval_recall(name, F.col(evidences), F.col(answers), F.col(text)).alias("_r"))
+    mean = lambda on: F.round(100 * F.coalesce(F.sum(F.when(on, F.col("_r"))), F.lit(0.0)) / (F.count(F.lit(1)) + TINY), 2)
+    return scored.groupBy(dataset).agg(mean(F.col("_e")).alias("_a"), mean(~F.col("_e")).alias("_b")).select(dataset, retrieval_score(F.col("_a"), F.col("_b")).alias("retrieval"))
 
 
 def class_filter(rows: DataFrame, flag: str | None, classes: str = "all_classes") -> DataFrame:

@@ -415,6 +415,17 @@ def dataset_scores(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.dataset_scores(rows, ["dataset"], "conv_id", score)
 
 
+@query()
+def dataset_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations dealt over all data sets: each one's score by its own metric, and how much of the next turn a part of it holds."""
+    names = F.array(*map(F.lit, sorted(metrics.METRIC_OF)))
+    rows = pairs_of(spark, d).withColumn("dataset", F.get(names, F.pmod(F.col("conv_id"), F.size(names)).cast("int"))).withColumn("answer_idx", F.col("turn") % 3)
+    scored = rows.withColumn("score", metrics.by_metric(metrics.metric_of(F.col("dataset")), fn.strip_answer_mark(F.col("pred")), F.col("truth")))
+    scores = evaluation.dataset_scores(scored, ["dataset"], "conv_id", F.col("score"))
+    held = rows.select("dataset", fn.sentences_en(F.col("truth")).alias("evidences"), F.array("truth").alias("answers"), F.concat("pred", F.lit("\n"), F.left("truth", F.lit(200))).alias("context"))
+    return scores.join(evaluation.retrieval_scores(held, "dataset", "evidences", "answers", "context"), "dataset")
+
+
 @query("select doc_id, coalesce(nullif((doc_id % 2)::double, 0), nullif((doc_id % 3)::double, 0)) as score from documents")
 def ret_score_fallback(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")

@@ -195,3 +195,33 @@ def test_training_variants_shuffle_and_cut_segments(spark):
             parts = [x for x in less if x.startswith(f"part {i} ")]
             assert 4 <= len(parts) <= 14 and all(14 <= sum(x.startswith(f"line {i} {p.split()[2]} ") for x in less) <= 24 for p in parts)
     assert len(set(orders)) > 1
+
+
+def test_every_data_set_has_a_score(spark):
+    from lodestack.functions import metrics
+    from lodestack.plans import catalog
+
+    qa = ["hotpotqa", "2wikimqa", "musique", "narrativeqa", "qasper", "multifieldqa_en", "qasper_all"]
+    names = [*qa, "HiCBench", "OHRBench_sub", "GutenQA", "dureader", "multifieldqa_zh"]
+    df = spark.createDataFrame([(n, "The cat sat", "a cat sat here") for n in names] + [("other", "a", "a")], "d string, p string, t string")
+    got = {r.d: r.s for r in df.select("d", metrics.by_metric(metrics.metric_of(F.col("d")), F.col("p"), F.col("t")).alias("s")).collect()}
+    assert got.pop("other") is None and set(got) == set(names) == set(metrics.METRIC_OF)
+    rouge = metrics.rouge_l_f("The cat sat", "a cat sat here")
+    assert all(abs(got[n] - 0.8) < 1e-12 for n in qa) and all(got[n] == rouge for n in ("HiCBench", "OHRBench_sub", "GutenQA"))
+    assert got["dureader"] == metrics.rouge_l_f(" ".join("The cat sat"), " ".join("a cat sat here")) and 0 < got["multifieldqa_zh"] < 1
+    rows = catalog.dataset_metrics(spark, "/root/testdata/sf0.001").collect()
+    assert rows and {r.dataset for r in rows} <= set(names) and all(r.score is not None for r in rows)
+    assert {r.dataset for r in catalog.dataset_metrics(spark, "/root/testdata/sf0.01").collect()} == set(names)
+
+
+def test_retrieval_is_held_against_evidence_of_the_data_set(spark):
+    rows = [(d, e, ["an answer"]) for d, e in (("HiCBench", ["# One. Two"]), ("GutenQA", ["# One. Two"]), ("OHRBench_sub", None), ("HiCBench", []), ("qasper_all", ["# One. Two"]), ("qasper", ["# One. Two"]))]
+    df = spark.createDataFrame(rows, "d string, e array<string>, a array<string>")
+    got = df.select(evaluation.retrieval_target(F.col("d"), F.col("e"), F.col("a")).alias("t"), evaluation.retrieval_recall(F.col("d"), F.col("e"), F.col("a"), F.lit("x One.Two y")).alias("r")).collect()
+    assert [r.t for r in got] == [["One.Two"], ["One.Two"], ["an answer"], [], ["One.", "Two"], ["an answer"]]
+    # Lengths are those before cleaning: "# One." has six of nine characters, and both sentences stand in the text.
+    assert [r.r for r in got] == [1.0, 1.0, 0.0, 0.0, 1.0, 0.0]
+    half = df.where("d = 'qasper_all'").select(evaluation.retrieval_recall(F.col("d"), F.col("e"), F.col("a"), F.lit("one")).alias("r")).first().r
+    assert abs(half - 6 / 9) < 1e-12
+    scores = {r.d: r.retrieval for r in evaluation.retrieval_scores(df.withColumn("x", F.lit("One.Two, an answer")), "d", "e", "a", "x").collect()}
+    assert scores == {"HiCBench": 50.0, "GutenQA": 100.0, "OHRBench_sub": 100.0, "qasper_all": 100.0, "qasper": 100.0}

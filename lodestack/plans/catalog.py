@@ -372,7 +372,7 @@ def rouge_l(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bleu(spark: SparkSession, d: str) -> DataFrame:
-    return pairs_of(spark, d).select("conv_id", "turn", F.round(metrics.bleu(fn.split_space(F.col("pred")), fn.split_space(F.col("truth")), 2), 9).alias("bleu"))
+    return pairs_of(spark, d).select("conv_id", "turn", F.round(metrics.bleu(fn.split_space(F.col("pred")), fn.split_space(F.col("truth"))), 9).alias("bleu"))
 
 
 HIT = f"select item_id, doc_id, source, b.text as evidence, length(b.text) as n, contains({norm('d.text')}, {norm('b.text')}) as hit from benchmark b, documents d"

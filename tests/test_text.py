@@ -65,3 +65,13 @@ def test_rouge_and_bleu(spark):
 
 def test_template(spark):
     assert one(spark, lambda a, b: fn.fill_template("{{x}} {context} | {input}", context=a, input=b), "see {input}", "q") == "{x} see {input} | q"
+
+
+def test_bleu_query_counts_four_grams(spark):
+    from lodestack.plans import catalog
+
+    d = "/root/testdata/sf0.01"
+    pairs = {(r.conv_id, r.turn): (r.pred.split(), r.truth.split()) for r in catalog.pairs_of(spark, d).collect()}
+    got = {(r.conv_id, r.turn): r.bleu for r in catalog.bleu(spark, d).collect()}
+    assert got.keys() == pairs.keys() and all(abs(got[k] - metrics.bleu_reference(*pairs[k])) < 1e-8 for k in pairs)
+    assert any(metrics.bleu_reference(*pairs[k], 2) > 0 == got[k] for k in pairs)

@@ -349,7 +349,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, key: s
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without those that a document with a smaller key reaches by links; repeated rows of a key go too."""
+    """The documents without those that a document with a smaller key reaches by links; of rows that share a key one stays, whatever their texts."""
     found = jaccard_components(docs, size, percent, key, text)
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
     return docs.dropDuplicates([key]).join(stays, docs[key].eqNullSafe(stays["_stays"]), "left_semi")

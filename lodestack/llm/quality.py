@@ -121,20 +121,25 @@ def common_lines(docs: DataFrame, rule: LineRule = LineRule(), key: str = "doc_i
     return counted.join(hosts, "_host").where(F.col("_docs") >= rule.min_share * F.col("_texts")).select("_host", "_line", "_first", "_docs")
 
 
-def quality_rules(docs: DataFrame, rule: LineRule = LineRule(), key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """Per document: its key, the measures, ``words_left`` and ``kept``."""
+def _judged(docs: DataFrame, rule: LineRule, key: str, text: str, host: str) -> DataFrame:
     base = measures(docs.select(key, text, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text")), text).drop(text)
     common = common_lines(docs, rule, key, text, host)
     held = _lines(docs, key, text, host).join(common, ["_host", "_line"]).where(F.col("_doc") != F.col("_first"))
     lost = held.dropDuplicates(["_host", "_doc", "_text", "_at"]).groupBy(F.col("_doc").alias(key), "_text").agg(F.sum("_n").alias("_lost"))
     out = base.join(lost, [key, "_text"], "left").withColumn("words_left", F.col("n_words") - F.coalesce(F.col("_lost"), F.lit(0)))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= rule.min_left * F.col("n_words"))).drop("_lost", "_text")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= rule.min_left * F.col("n_words"))).drop("_lost")
+
+
+def quality_rules(docs: DataFrame, rule: LineRule = LineRule(), key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """Per document: its key, the measures, ``words_left`` and ``kept``."""
+    return _judged(docs, rule, key, text, host).drop("_text")
 
 
 def kept_documents(docs: DataFrame, rule: LineRule = LineRule(), key: str = "doc_id") -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    kept = quality_rules(docs, rule, key).where("kept").select(key).distinct()
-    return docs.join(kept, key, "left_semi")
+    """The documents that the rules keep, with all their columns; rows are told apart by key, null or not, and text."""
+    kept = _judged(docs, rule, key, "text", "source").where("kept").select(F.col(key).alias("_kept_key"), F.col("_text").alias("_kept_text")).distinct()
+    same_text = F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == kept["_kept_text"]
+    return docs.join(kept, docs[key].eqNullSafe(kept["_kept_key"]) & same_text, "left_semi")
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

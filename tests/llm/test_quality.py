@@ -50,3 +50,10 @@ def test_copies_of_one_text_are_not_common_lines(spark):
 
 def test_empty_table(spark):
     assert quality_rules(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_kept_documents_tell_rows_without_or_with_repeated_keys_apart(spark):
+    text = lambda n: " ".join(f"w{n}x{j}" for j in range(60))
+    rows = [(None, text(0)), (None, "short"), (1, text(1)), (2, text(2)), (2, "short too")]
+    df = spark.createDataFrame([(i, t, None, "h", None, "k", 0) for i, t in rows], SCHEMA)
+    assert {(r.doc_id, r.text) for r in kept_documents(df).collect()} == {(None, text(0)), (1, text(1)), (2, text(2))}

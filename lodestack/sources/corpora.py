@@ -30,15 +30,15 @@ def report_lines(sections: DataFrame, least: int = LONG) -> DataFrame:
     return whole.where(~F.col("bad")).select("doc_id", text.alias("text")).where(F.char_length("text") >= least)
 
 
-def flatten_sections(reports: DataFrame, depth: int = 6) -> DataFrame:
+def flatten_sections(reports: DataFrame) -> DataFrame:
     """(doc_id, path, title, paragraphs) of nested JSON sections: ``report`` holds a JSON array of sections.
 
-    Sections nest by JSON text, which is unfolded ``depth`` times at most.
+    Sections nest by JSON text, which is unfolded until no level has rows; each level is one small query.
     """
     schema = "array<struct<section_title: string, paragraphs: array<string>, subsections: string>>"
     level = reports.select("doc_id", F.array().cast("array<int>").alias("path"), F.col("report").alias("json"))
     out = None
-    for _ in range(depth):
+    while out is None or not level.isEmpty():
         found = level.select("doc_id", "path", F.posexplode(F.from_json("json", schema)).alias("i", "s"))
         part = found.select("doc_id", F.concat("path", F.array("i")).alias("path"), F.col("s.section_title").alias("title"), F.coalesce("s.paragraphs", F.array().cast("array<string>")).alias("paragraphs"), F.col("s.subsections").alias("json"))
         out = part.drop("json") if out is None else out.unionByName(part.drop("json"))

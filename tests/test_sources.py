@@ -54,3 +54,13 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).where(F.col("recall").between(0, 1)).count() > 0
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) >= 50
+
+
+def test_sections_of_any_depth_are_unfolded(spark):
+    nested = None
+    for i in range(9, 0, -1):
+        section = {"section_title": f"T{i}", "paragraphs": [f"p{i}"]}
+        nested = json.dumps([section | ({"subsections": nested} if nested else {})])
+    flat = corpora.flatten_sections(spark.createDataFrame([(1, nested), (2, "[]")], "doc_id long, report string"))
+    assert sorted((len(r.path), r.title, r.paragraphs) for r in flat.collect()) == [(i, f"T{i}", [f"p{i}"]) for i in range(1, 10)]
+    assert corpora.report_lines(flat, least=1).first().text.endswith("######### T9\np9")

@@ -17,8 +17,6 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
 }
 ORACLES = {
-    "op3_toxicity": toxicity.op3_toxicity,
     "op4_line_dedup": line_dedup.ORACLE,
-    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_quality": quality.ORACLE,
 }

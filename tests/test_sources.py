@@ -64,3 +64,9 @@ def test_sections_of_any_depth_are_unfolded(spark):
     flat = corpora.flatten_sections(spark.createDataFrame([(1, nested), (2, "[]")], "doc_id long, report string"))
     assert sorted((len(r.path), r.title, r.paragraphs) for r in flat.collect()) == [(i, f"T{i}", [f"p{i}"]) for i in range(1, 10)]
     assert corpora.report_lines(flat, least=1).first().text.endswith("######### T9\np9")
+
+
+def test_oracles_are_sql():
+    import __spark_entry__
+
+    assert all(isinstance(sql, str) for sql in __spark_entry__.oracle_sql().values())

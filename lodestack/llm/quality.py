@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.runtime import materialize
+
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -136,8 +138,13 @@ def quality_rules(docs: DataFrame, rule: LineRule = LineRule(), key: str = "doc_
 
 
 def kept_documents(docs: DataFrame, rule: LineRule = LineRule(), key: str = "doc_id") -> DataFrame:
-    """The documents that the rules keep, with all their columns; rows are told apart by key, null or not, and text."""
-    kept = _judged(docs, rule, key, "text", "source").where("kept").select(F.col(key).alias("_kept_key"), F.col("_text").alias("_kept_text")).distinct()
+    """The documents that the rules keep, with all their columns; rows are told apart by key, null or not, and text.
+
+    The verdicts are written first: a filter on them would be pushed below the
+    measures, and their definitions copied into it once for each use.
+    """
+    judged = materialize(_judged(docs, rule, key, "text", "source").select(F.col(key).alias("_kept_key"), F.col("_text").alias("_kept_text"), "kept"), "verdicts")
+    kept = judged.where("kept").select("_kept_key", "_kept_text").distinct()
     same_text = F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == kept["_kept_text"]
     return docs.join(kept, docs[key].eqNullSafe(kept["_kept_key"]) & same_text, "left_semi")
 

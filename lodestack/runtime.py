@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,12 +30,18 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it again.
 
     This cuts the lineage: lost executors cost only the tasks they ran, and
-    what several branches of a plan read is computed once. The folder goes when
-    the driver's JVM ends.
+    what several branches of a plan read is computed once. The write's shuffle
+    files go when it has ended, as nothing reads them again; the folder goes with
+    ``drop_table`` or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

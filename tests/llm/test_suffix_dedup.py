@@ -53,7 +53,16 @@ def corpus(seed, n):
     return rows + [(1, "z" * 700), (2, "ab" * 90), (4, rows[0][1]), (5, None), (7, ""), (8, "q" * 99)]
 
 
-@pytest.mark.parametrize("seed, patched", [(1, {}), (2, {"MANY": 2}), (3, {"SAMPLED": 1, "SAMPLED_MANY": 2})])
+def test_rows_that_share_a_key_are_documents_of_their_own(spark):
+    rng = random.Random(3)
+    text = lambda k: "".join(rng.choices("abcdefgh", k=k))
+    passage = text(200)
+    rows = [(1, passage), (1, text(400)), (2, "x" + passage), (1, passage), (None, text(300)), (None, "y" + passage)]
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in dedup_substrings(spark.createDataFrame([(i, t, None, 1, "x", 1) for i, t in rows], SCHEMA)).collect()}
+    assert got == {(None, 201): 0, (None, 300): 0, (1, 200): 200, (1, 400): 0, (2, 201): 200}
+
+
+@pytest.mark.parametrize("seed, patched", [(1, {}), (2, {"MANY": 2}), (3, {"SAMPLED": 1, "SAMPLED_MANY": 2}), (4, {"MANY": 8})])
 def test_equals_brute_force(spark, monkeypatch, seed, patched):
     for name, value in patched.items():
         monkeypatch.setattr(suffix_dedup, name, value)

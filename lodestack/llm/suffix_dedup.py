@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestack.llm.batches import sliced
 from lodestack.llm.names import fresh
 from lodestack.runtime import drop_table, materialize
 
@@ -242,7 +243,7 @@ def _contexts(least: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             ids, texts = _long(batch, "doc"), _binary(batch, "text")
             parts, digests = [], []
             for i in np.argsort(ids, kind="stable"):
@@ -328,7 +329,7 @@ STRINGS = "anchor long, doc long, lo long, at long, bytes binary"
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each document's open contexts."""
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         own = _column(batch, "own")
         counts = own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         flat = own.flatten()
@@ -448,7 +449,7 @@ def _windows(least: int):
 
 def _cleaned(column: str, spans: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, column):
             kept, sizes, removed, counts = [], [], [], []
             own = _column(batch, spans)
             ends = np.cumsum(own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))

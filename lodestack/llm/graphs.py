@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.runtime import materialize
+from lodestack.runtime import drop_table, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
         new = materialize(least.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("label")), "labels")
+        drop_table(edges.sparkSession, labels)
         labels = new.select("node", "label")
         if not new.where(F.col("old") != F.col("label")).take(1):
+            drop_table(edges.sparkSession, both)
             return labels

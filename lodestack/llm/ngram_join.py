@@ -2,22 +2,28 @@
 
 A document's set holds its distinct word shingles, as 64-bit hashes. Documents
 of equal sets form one class. Two sets that link miss at most ``tau`` of each
-other's tokens, which gives two filters without loss:
+other's tokens, which gives the filters, none of which loses a link:
 
 1. Under the order of hash values, the first ``tau + l`` tokens of either set
    share at least ``l``. Only these tokens are counted over the corpus, and a
    class with too few repeated ones is out.
-2. For the classes left, whole sets are counted and ordered from rare to
-   frequent. The prefix is extended until destroying all its signatures would
-   take more than ``tau`` missing tokens: a rare token is a signature by itself,
-   frequent ones only in combinations of two, very frequent ones of three.
-   Linked sets therefore share a signature.
-
-Within a bucket of one signature, the parity bits of two sets bound their
-difference from below. A bucket gives the edges of a least spanning forest of
-the pairs that the bound allows, then, for classes not connected by verified
-edges, every pair left. So groups of near copies give edges in proportion to
-their size, and no link is lost. Large buckets are processed in blocks.
+2. A class's repeated tokens are ordered from rare to frequent, and its prefix is
+   extended until destroying all its signatures would take more tokens than a
+   linked set can lack: a rare token is a signature by itself, frequent ones only
+   in combinations of two, very frequent ones of three. Combinations are made
+   within groups of tokens, by a hash; the number of groups goes by the size of
+   the set, so the signatures stay in proportion to the set: at most about two
+   for each of its tokens with combinations of two, ten with those of three.
+   Linked sets therefore share a signature. The limits of frequent and very frequent do not
+   move with the corpus, so that a single token's bucket stays bounded.
+3. The parity bits of two sets bound their difference from below.
+
+The classes that share a signature form a bucket. First each class is compared
+with its bucket's smallest one, which joins groups of near copies in proportion
+to their size. Buckets that still hold several components follow: small ones
+give every pair of different components that the bounds allow, large ones the
+edges of a least spanning forest and then, for what verified edges have not
+connected, every such pair. Very large ones are processed in blocks.
 
 Defined results: a text without words has an empty set and links with nothing;
 fewer words than a shingle has form one token; rows that repeat a key are in the
@@ -32,18 +38,21 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.llm.batches import sliced
 from lodestack.llm.graphs import components
+from lodestack.llm.names import fresh
 from lodestack.runtime import drop_table, materialize
 
-#: Documents with more shingles use single tokens alone: combinations would be too many.
-LONG_SET = 600
-#: Tokens in more classes than this count as frequent, and as very frequent.
-FREQUENT, VERY_FREQUENT = 128, 2048
+#: Tokens in the prefixes of more classes than this count as frequent, and as very frequent.
+FREQUENT, VERY_FREQUENT = 128, 65_536
 WORDS = 8  # 64-bit words of a parity sketch
-BLOCK = 1024
+#: Buckets up to SMALL give all pairs at once; those beyond BLOCK are cut.
+SMALL, BLOCK = 64, 1024
+#: The filter of classes whose sets are read again has so many bits at most (2 MiB); beyond that more sets are read than needed.
+MAX_BITS = 1 << 24
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], np.uint64)
 
 
@@ -93,10 +102,18 @@ class Bounds:
 
     def smallest(self) -> int:
         """The least size of a set that can link with another set."""
-        n = 1
-        while 100 * n < self.percent * (n + 1):
-            n += 1
-        return n
+        if self.percent == 100:
+            return 1 << 40
+        return -(-self.percent // (100 - self.percent))
+
+    def levels(self, n: int) -> range:
+        """The size classes in which a set of n makes combinations: its own, and those of larger sets that can link with it."""
+        return range(n.bit_length() - 1, (100 * n // self.percent).bit_length())
+
+    def groups(self, level: int) -> int:
+        """The groups of tokens that combine. Up to three tokens of each are of no use, which the prefix makes up for."""
+        least = max(self.smallest(), -(-self.percent * (1 << level) // 100))
+        return max(1, (self.need(least) - 1) // 3)
 
     def linked(self, a: int, b: int, both: int) -> bool:
         return 100 * both >= self.percent * (a + b - both)
@@ -114,99 +131,157 @@ def _key(tokens: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None
 
 
+def _sketch(tokens: np.ndarray) -> bytes:
+    return np.packbits((np.bincount((tokens >> np.uint64(55)).astype(np.int64), minlength=64 * WORDS) & 1).astype(np.uint8)).tobytes()
+
+
+SEEN = "doc_id long, digest long, n long, key binary, tokens binary, sketch binary"
+
+
 def _sketched(size: int, bounds: Bounds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             sets = [shingle_set(t, size) for t in _binary(batch, "text")]
-            first = [s[: bounds.prefix(len(s))].tobytes() if len(s) >= bounds.smallest() else b"" for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), pa.array(first, pa.binary())], ["doc_id", "n", "key", "first"])
+            can = [len(s) >= bounds.smallest() for s in sets]
+            first = [s[: bounds.prefix(len(s))].tobytes() if ok else b"" for s, ok in zip(sets, can)]
+            sketches = [_sketch(s) if ok else b"" for s, ok in zip(sets, can)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in ([_key(s) for s in sets], first, sketches))], ["doc_id", "digest", "n", "key", "tokens", "sketch"]
+            )
 
     return run
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(nid, token) of each hash in the binary column ``tokens``."""
-    for batch in batches:
+    for batch in sliced(batches, "tokens"):
         data = _binary(batch, "tokens")
         sizes = [len(x) // 8 for x in data]
         ids = np.repeat(batch.column(batch.schema.get_field_index("nid")).to_numpy(), sizes)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.frombuffer(b"".join(data), np.int64))], ["nid", "token"])
 
 
-def _whole_sets(size: int):
+def _spots(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bit positions for each id."""
+    h = _mixed(ids.view(np.uint64))
+    return (h & np.uint64(bits - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _marks(bits: int):
+    """(word, mask) of the filter's 64-bit words, of a batch's ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = _binary(batch, "key")
-            sets = [shingle_set(t, size) for t in _binary(batch, "text")]
-            same = [i for i, s in enumerate(sets) if _key(s) == keys[i]]
-            ids = batch.column(batch.schema.get_field_index("nid")).take(pa.array(same, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(sets[i]) for i in same], pa.int64()), pa.array([sets[i].tobytes() for i in same], pa.binary())], ["nid", "n", "tokens"])
+            spots = np.concatenate(_spots(batch.column(0).to_numpy(), bits))
+            masks = (np.uint64(1) << (spots & 63).astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(spots >> 6), pa.array(masks)], ["word", "mask"])
 
     return run
 
 
-def signatures(tokens: np.ndarray, df: np.ndarray, n: int, bounds: Bounds) -> list[tuple[int, ...]]:
-    """The signatures of a set of n tokens, of which ``tokens`` are those in at least two classes.
+def _whole_sets(size: int, shared):
+    """(key, n, tokens) of the documents that the filter of ids lets through, and of a few more."""
 
-    (0, token): a single one; (1, ...), (2, ...): combinations of frequent and very frequent tokens.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter_ = shared.value
+        for batch in sliced(batches, "text"):
+            a, b = _spots(batch.column(0).to_numpy(), len(filter_) * 64)
+            hit = np.flatnonzero((filter_[a >> 6] >> (a & 63).astype(np.uint64) & filter_[b >> 6] >> (b & 63).astype(np.uint64) & np.uint64(1)) == 1)
+            sets = [shingle_set(t, size) for t in _binary(batch.take(pa.array(hit)), "text")]
+            sets = [s for s in sets if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "n", "tokens"])
+
+    return run
+
+
+def signatures(tokens: np.ndarray, df: np.ndarray, n: int, bounds: Bounds, frequent: tuple[int, int] = (FREQUENT, VERY_FREQUENT)) -> list[tuple[int, ...]]:
+    """The signatures of a set of n tokens, of whose prefix ``tokens`` are those in at least two classes.
+
+    (0, token): a single one; (level, 1 or 2, ...): combinations of frequent and very frequent tokens.
     """
-    spare = bounds.tau(n) - (n - len(tokens))
+    spare = len(tokens) - bounds.need(n)
     if spare < 0:
         return []
     order = np.lexsort((tokens, df))
-    tokens, df = tokens[order], df[order]
-    out: list[tuple[int, ...]] = []
-    if n > bounds.percent * LONG_SET // 100:
-        out += [(0, int(t)) for t in tokens[: spare + 1]]
-    if n <= LONG_SET * 100 // bounds.percent + 1:
-        held: tuple[list[int], list[int], list[int]] = [], [], []
+    kinds = ((df > frequent[0]).astype(int) + (df > frequent[1]))[order].tolist()
+    tokens = tokens[order].tolist()
+    if not kinds[spare]:
+        return [(0, t) for t in tokens[: spare + 1]]
+    out: dict[tuple[int, ...], None] = {}
+    for level in bounds.levels(n):
+        groups = bounds.groups(level)
+        held: dict[tuple[int, int], list[int]] = {}
         cost = 0
-        for t, d in zip(tokens.tolist(), df.tolist()):
-            kind = (d > FREQUENT) + (d > VERY_FREQUENT)
-            held[kind].append(t)
-            cost += len(held[kind]) > kind
-            if cost > spare:  # comes before the tokens end, as n - tau is above 3 for sets that can link
+        for t, kind in zip(tokens, kinds):
+            if kind:
+                own = held.setdefault((kind, t % groups), [])
+                own.append(t)
+                cost += len(own) > kind
+            else:
+                out[(0, t)] = None
+                cost += 1
+            if cost > spare:  # comes before the tokens end, see ``Bounds.groups``
                 break
-        for kind in (0, 1, 2):
-            out += [(4 + kind, *c) for c in combinations(sorted(held[kind]), kind + 1)]
-    return out
+        for (kind, _), own in held.items():
+            out |= dict.fromkeys((level, kind, *c) for c in combinations(sorted(own), kind + 1))
+    return list(out)
 
 
-def _signed(bounds: Bounds):
+def _signed(bounds: Bounds, frequent: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[list[int], int, int, int, bytes]] = []
+            rows: list[tuple[list[int], int]] = []
             at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            for nid, n, pairs in zip(at["nid"].to_pylist(), at["n"].to_pylist(), at["pairs"]):
-                flat = pairs.values
-                tokens = flat.field("token").to_numpy(zero_copy_only=False)
-                df = flat.field("df").to_numpy(zero_copy_only=False)
-                own = signatures(tokens, df, n, bounds)
+            ends = np.cumsum(at["pairs"].value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            flat = at["pairs"].flatten()
+            tokens, df = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for nid, n, x, y in zip(at["nid"].to_pylist(), at["n"].to_pylist(), [0, *ends], ends):
+                own = signatures(tokens[x:y], df[x:y], n, bounds, frequent)
                 if own:
-                    bits = np.bincount((tokens.view(np.uint64) >> np.uint64(64 - 9)).astype(np.int64), minlength=64 * WORDS) & 1
-                    sketch = np.packbits(bits.astype(np.uint8)).tobytes()
-                    rows.append(([xxhash.xxh3_64_intdigest(np.array(s, np.int64).tobytes()) - 2**63 for s in own], nid, n, n - len(tokens), sketch))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["sigs", "nid", "n", "alone", "sketch"])
+                    rows.append(([xxhash.xxh3_64_intdigest(np.array(s, np.int64).tobytes()) - 2**63 for s in own], nid))
+            cols = list(zip(*rows)) if rows else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.list_(pa.int64()), pa.int64()))], ["sigs", "nid"])
+
+    return run
+
+
+def _sketches(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(name)).to_pylist()), np.uint64).reshape(-1, WORDS)
+
+
+def _close(bounds: Bounds, n, m, x, y):
+    """Whether sets of n and m tokens with sketches x and y may link, and the least that they differ by."""
+    far = np.bitwise_count(x ^ y).sum(axis=-1).astype(np.int64)
+    return (far <= bounds.may_differ(n, m)) & (100 * np.minimum(n, m) >= bounds.percent * np.maximum(n, m)), far
+
+
+def _near(bounds: Bounds):
+    """Of pairs with their sizes and sketches, those that may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("n", "m"))
+            good, _ = _close(bounds, n, m, _sketches(batch, "x"), _sketches(batch, "y"))
+            yield batch.select(["a", "b"]).take(pa.array(np.flatnonzero(good)))
 
     return run
 
 
 class _Bucket:
-    """The rows of one bucket, or of two blocks of a large one."""
+    """The rows of one large bucket, or of two blocks of a very large one."""
 
-    def __init__(self, nid, n, alone, sketch, block, label, bounds: Bounds):
-        self.nid, self.n, self.alone, self.sketch, self.block, self.label, self.bounds = nid, n, alone, sketch, block, label, bounds
+    def __init__(self, nid, n, sketch, block, label, bounds: Bounds):
+        self.nid, self.n, self.sketch, self.block, self.label, self.bounds = nid, n, sketch, block, label, bounds
         self.two = block.min() != block.max()
 
     def gaps(self, i: int) -> np.ndarray:
-        """The least possible difference of set i to every set, or a huge number where they can't link."""
-        far = np.bitwise_count(self.sketch ^ self.sketch[i]).sum(axis=1).astype(np.int64) + self.alone + self.alone[i]
-        bad = far > self.bounds.may_differ(self.n, self.n[i])
-        bad |= (100 * np.minimum(self.n, self.n[i]) < self.bounds.percent * np.maximum(self.n, self.n[i])) | (self.nid == self.nid[i])
+        """The least possible difference of set i to every set; a huge number where they can't link, -1 within a component."""
+        good, far = _close(self.bounds, self.n, self.n[i], self.sketch, self.sketch[i])
         if self.two:
-            bad |= self.block == self.block[i]
-        return np.where(bad, 1 << 40, far)
+            good &= self.block != self.block[i]
+        far = np.where(good, far, 1 << 40)
+        far[self.label == self.label[i]] = -1
+        return far
 
     def forest(self) -> list[tuple[int, int]]:
         m = len(self.nid)
@@ -220,42 +295,49 @@ class _Bucket:
             best[closer], source[closer] = gap[closer], now
             left = np.where(open_, best, 1 << 41)
             now = int(left.argmin())
-            if open_[now] and best[now] < 1 << 40:
+            if open_[now] and 0 <= best[now] < 1 << 40:
                 out.append((self.nid[source[now]], self.nid[now]))
         return out
 
     def apart(self) -> list[tuple[int, int]]:
-        """All pairs that may link and have different labels."""
+        """All pairs of different components that may link."""
         out = []
         for i in range(len(self.nid)):
-            hit = np.flatnonzero((self.gaps(i) < 1 << 40) & (self.label != self.label[i]))
-            out += [(self.nid[i], self.nid[j]) for j in hit if j > i]
+            gap = self.gaps(i)
+            out += [(self.nid[i], self.nid[j]) for j in np.flatnonzero((gap >= 0) & (gap < 1 << 40)) if j > i]
         return out
 
 
-def _pairs(bounds: Bounds, last: bool):
+def _pairs(bounds: Bounds, small: int, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs_of(rows: list[np.ndarray]) -> list[tuple[int, int]]:
-            sig, lo, hi, nid, n, alone, sketch, block, label = rows
+        def pairs_of(rows: list[np.ndarray]) -> pa.RecordBatch:
+            sig, lo, hi, nid, n, sketch, block, label, m = rows
             new = np.r_[True, (sig[1:] != sig[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
+            bucket = np.cumsum(new)
+            found = []
+            few = np.flatnonzero(m <= small)
+            for d in range(1, small):
+                i, j = few[:-d], few[d:]
+                same = bucket[i] == bucket[j]
+                if not same.any():
+                    break
+                same &= label[i] != label[j]
+                i, j = i[same], j[same]
+                good, _ = _close(bounds, n[i], n[j], sketch[i], sketch[j])
+                found.append(np.stack([nid[i[good]], nid[j[good]]], 1))
             starts = np.flatnonzero(new)
-            out = []
             for a, b in zip(starts, np.r_[starts[1:], len(sig)]):
-                if b - a > 1 and not (last and (label[a:b] == label[a]).all()):
-                    bucket = _Bucket(nid[a:b], n[a:b], alone[a:b], sketch[a:b], block[a:b], label[a:b], bounds)
-                    out += bucket.apart() if last else bucket.forest()
-            return sorted({(int(min(p)), int(max(p))) for p in out})
-
-        def emit(found):
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-        names = ("sig", "lo", "hi", "nid", "n", "alone", "sketch", "block", "label")
+                if m[a] > small and (label[a:b] != label[a]).any():
+                    own = _Bucket(nid[a:b], n[a:b], sketch[a:b], block[a:b], label[a:b], bounds)
+                    found.append(np.array(own.apart() if last else own.forest(), np.int64).reshape(-1, 2))
+            pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+            pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        names = ("sig", "lo", "hi", "nid", "n", "sketch", "block", "label", "m")
         held: list[np.ndarray] | None = None
         for batch in batches:
-            rows = []
-            for name in names:
-                column = batch.column(batch.schema.get_field_index(name))
-                rows.append(np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WORDS) if name == "sketch" else column.to_numpy())
+            rows = [_sketches(batch, c) if c == "sketch" else batch.column(batch.schema.get_field_index(c)).to_numpy() for c in names]
             if held is not None:
                 rows = [np.concatenate([h, r]) for h, r in zip(held, rows)]
             if not len(rows[0]):
@@ -265,9 +347,9 @@ def _pairs(bounds: Bounds, last: bool):
             cut = len(same) - int(same[::-1].argmin()) if not same.all() else 0
             held = [r[cut:] for r in rows]
             if cut:
-                yield emit(pairs_of([r[:cut] for r in rows]))
+                yield pairs_of([r[:cut] for r in rows])
         if held is not None and len(held[0]):
-            yield emit(pairs_of(held))
+            yield pairs_of(held)
 
     return run
 
@@ -293,66 +375,103 @@ def _verify(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verified(bounds), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest key reachable by links) of every row."""
-    bounds = Bounds(percent)
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    seen = materialize(docs.mapInArrow(_sketched(size, bounds), "doc_id long, n long, key binary, first binary"), "sketches")
-    classes = seen.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("tokens"))
+def _need(bounds: Bounds, n: Column) -> Column:
+    """``Bounds.need`` as a column."""
+    least = F.ceil(F.lit(bounds.percent) * n / 100)
+    lacks = F.floor((100 - bounds.percent) * least / 100)
+    return F.least(least - lacks, F.greatest(F.lit(8), F.floor(lacks / 2)))
+
+
+def _classed(docs: DataFrame, size: int, bounds: Bounds, frequent: tuple[int, int], small: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, digest, n, key) of ``docs`` (doc_id, digest, text), and of each class (key): component_id, and the key of the component's first class."""
+    spark = docs.sparkSession
+    seen = materialize(docs.mapInArrow(_sketched(size, bounds), SEEN), "sketches")
+    classes = seen.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "tokens", "sketch")))
     classes = materialize(classes.withColumn("nid", F.monotonically_increasing_id()), "classes")
-    members = materialize(seen.select("doc_id", "n", "key"), "members")
-    drop_table(docs.sparkSession, seen)
+    members = materialize(seen.select("doc_id", "digest", "n", "key"), "members")
+    drop_table(spark, seen)
 
-    # Filter 1: repeated tokens among the first ones in the order of hashes.
     can = classes.where(F.col("n") >= bounds.smallest())
     first = can.select("nid", "tokens").mapInArrow(_tokens, "nid long, token long")
-    again = materialize(first.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token"), "repeated")
-    counted = first.join(again, "token").groupBy("nid").agg(F.count(F.lit(1)).alias("r"))
-    least = F.ceil(F.lit(percent) * F.col("n") / 100)
-    lacks = F.floor((100 - percent) * least / 100)
-    need = F.least(least - lacks, F.greatest(F.lit(8), F.floor(lacks / 2)))
-    left = materialize(can.select("nid", "n", "rep", "key").join(counted, "nid").where(F.col("r") >= need).select("nid", "rep", "key"), "left")
-
-    # Filter 2: signatures of whole sets.
-    whole = docs.join(left, docs["doc_id"].eqNullSafe(left["rep"])).select("nid", "key", "text").mapInArrow(_whole_sets(size), "nid long, n long, tokens binary")
-    sets = materialize(whole.groupBy("nid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets")
-    tokens = sets.select("nid", "tokens").mapInArrow(_tokens, "nid long, token long")
-    frequency = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequency")
-    lists = tokens.join(frequency, "token").groupBy("nid").agg(F.collect_list(F.struct("token", "df")).alias("pairs"))
-    signed = lists.join(sets.select("nid", "n"), "nid").mapInArrow(_signed(bounds), "sigs array<long>, nid long, n long, alone long, sketch binary")
-    signed = materialize(signed, "signatures")
-    large = materialize(signed.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK), "buckets")
-
-    def rows(labelled: DataFrame) -> DataFrame:
-        """A row for each signature; those of large buckets once for each block that theirs is compared with."""
-        every = labelled.select(F.explode("sigs").alias("sig"), "nid", "n", "alone", "sketch", "label").join(large, "sig", "left")
-        cut = every.withColumn("_cuts", F.coalesce(F.ceil(F.col("m") / BLOCK), F.lit(1)).cast("int"))
+    again = first.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    lists = first.join(again, "token").groupBy("nid").agg(F.collect_list(F.struct("token", "df")).alias("pairs"))
+    enough = lists.join(can.select("nid", "n"), "nid").where(F.size("pairs") >= _need(bounds, F.col("n")))
+    signed = materialize(enough.mapInArrow(_signed(bounds, frequent), "sigs array<long>, nid long"), "signatures")
+    heads = materialize(classes.drop("tokens"), "heads")
+    drop_table(spark, classes)
+
+    # Each class with the smallest one of its buckets.
+    rows = signed.select(F.explode("sigs").alias("sig"), "nid")
+    hubs = rows.groupBy("sig").agg(F.min("nid").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("sig", "hub")
+    paired = materialize(rows.join(hubs, "sig").select("nid", "hub").distinct(), "hubs")
+
+    # The whole sets of classes that have company.
+    wanted = materialize(paired.select("nid").distinct().join(heads, "nid").select("nid", "key", F.coalesce("rep", F.lit(-(2**63))).alias("id")), "wanted")
+    bits = min(MAX_BITS, max(1 << 16, 1 << (16 * wanted.count()).bit_length()))
+    filter_ = np.zeros(bits // 64, np.uint64)
+    marks = wanted.select("id").mapInArrow(_marks(bits), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    filter_[marks["word"].to_numpy(np.int64)] = marks["mask"].to_numpy(np.int64).view(np.uint64)
+    texts = docs.where(F.col("text").isNotNull()).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "text")
+    whole = texts.mapInArrow(_whole_sets(size, spark.sparkContext.broadcast(filter_)), "key binary, n long, tokens binary")
+    whole = whole.groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    sets = materialize(whole.join(wanted.select("key", "nid"), "key").select("nid", "n", "tokens"), "sets")
+
+    x = heads.select(F.col("nid").alias("a"), "n", F.col("sketch").alias("x"))
+    y = heads.select(F.col("nid").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    stars = paired.where("nid <> hub").select(F.col("hub").alias("a"), F.col("nid").alias("b"))
+    near = stars.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_near(bounds), "a long, b long")
+    edges = materialize(_verify(near, sets, bounds), "links")
+    labels = components(edges)
+
+    # Buckets of several components.
+    for last in (False, True):
+        named = labels.withColumnRenamed("node", "nid")
+        own = signed.join(named, "nid", "left").select(F.explode("sigs").alias("sig"), "nid", F.coalesce("label", "nid").alias("label"))
+        sizes = own.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b")
+        mixed = own.join(sizes.where(F.col("m") > small if last else F.lit(True)).select("sig", "m"), "sig").join(heads.select("nid", "n", "sketch"), "nid")
+        cut = mixed.withColumn("_cuts", F.ceil(F.col("m") / block).cast("int"))
         cut = cut.withColumn("block", F.pmod(F.xxhash64("nid"), F.col("_cuts")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)))
-        return cut.select("sig", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "nid", "n", "alone", "sketch", "block", "label")
+        dealt = cut.select("sig", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "nid", "n", "sketch", "block", "label", "m")
+        dealt = dealt.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
+        pairs = dealt.mapInArrow(_pairs(bounds, small, last), "a long, b long").distinct()
+        more = materialize(_verify(pairs, sets, bounds), "links")
+        if more.take(1):
+            edges = edges.union(more)
+            labels = components(edges)
 
-    def found(labelled: DataFrame, last: bool) -> DataFrame:
-        dealt = rows(labelled).repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
-        return dealt.mapInArrow(_pairs(bounds, last), "a long, b long").distinct()
+    named = heads.select("nid", "key", "rep").join(labels.withColumnRenamed("node", "nid"), "nid")
+    firsts = named.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "key")).alias("first"))
+    moved = named.join(firsts, "label").select("nid", "first.rep", F.col("first.key").alias("first_key"))
+    of_class = heads.select("nid", "key", F.col("rep").alias("_rep")).join(moved, "nid", "left")
+    of_class = materialize(of_class.select("key", F.coalesce("rep", "_rep").alias("component_id"), F.coalesce("first_key", "key").alias("first_key")), "components")
+    for done in (signed, paired, wanted, sets, heads):
+        drop_table(spark, done)
+    return members, of_class
 
-    edges = materialize(_verify(found(signed.withColumn("label", F.col("nid")), False), sets, bounds), "links")
-    labels = components(edges)
-    labelled = signed.join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
-    more = materialize(_verify(found(labelled, True), sets, bounds), "links")
-    if more.take(1):
-        labels = components(edges.union(more))
-
-    roots = classes.select("nid", "key", "rep").join(labels.withColumnRenamed("node", "nid"), "nid")
-    least_rep = roots.groupBy("label").agg(F.min("rep").alias("component_id"))
-    moved = roots.join(least_rep, "label").select("nid", "component_id")
-    of_class = materialize(classes.select("nid", "key", "rep").join(moved, "nid", "left").select("key", F.coalesce("component_id", "rep").alias("component_id")), "components")
+
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"), F.col(text).alias("text"))
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", frequent: tuple[int, int] = (FREQUENT, VERY_FREQUENT), small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest key reachable by links) of every row."""
+    members, of_class = _classed(_rows(docs, key, text), size, Bounds(percent), frequent, small, block)
     return members.join(of_class, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without those that a document with a smaller key reaches by links; of rows that share a key one stays, whatever their texts."""
-    found = jaccard_components(docs, size, percent, key, text)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.dropDuplicates([key]).join(stays, docs[key].eqNullSafe(stays["_stays"]), "left_semi")
+    """The documents without those that a document with a smaller key reaches by links.
+
+    Rows that share a key are told apart by their text: those with equal sets
+    count as one, others stay unless links join them.
+    """
+    members, of_class = _classed(_rows(docs, key, text), size, Bounds(percent), (FREQUENT, VERY_FREQUENT), SMALL, BLOCK)
+    alone = members.where(F.col("key").isNull()).select("doc_id", "digest").distinct()
+    first = members.join(of_class, "key").where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("first_key")))
+    stays = alone.union(first.groupBy("doc_id", "key").agg(F.min("digest").alias("digest")).select("doc_id", "digest")).select(F.col("doc_id").alias("_stays"), F.col("digest").alias("_digest"))
+    mine = fresh(docs, "_own_digest")
+    rows = docs.withColumn(mine, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).dropDuplicates([key, mine])
+    return rows.join(stays, rows[key].cast("long").eqNullSafe(stays["_stays"]) & (rows[mine] == stays["_digest"]), "left_semi").drop(mine)
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:

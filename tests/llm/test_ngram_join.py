@@ -5,7 +5,6 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from lodestack.llm import ngram_join
 from lodestack.llm.graphs import components
 from lodestack.llm.ngram_join import Bounds, jaccard_components, one_of_each, op6_ngram_join, shingle_set, signatures
 
@@ -61,34 +60,50 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, None, 1, 1, 1, 1) for i, t in rows], SCHEMA).repartition(3)
 
 
-def got(spark, rows, size, percent):
-    return sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(frame(spark, rows), size, percent).collect())
+def got(spark, rows, size, percent, **more):
+    return sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(frame(spark, rows), size, percent, **more).collect())
 
 
-@pytest.mark.parametrize("seed, size, percent, long_set, frequent, block", [(1, 3, 90, 600, 24, 1024), (2, 3, 90, 60, 2, 4), (3, 5, 80, 600, 2, 1024)])
-def test_equals_brute_force(spark, monkeypatch, seed, size, percent, long_set, frequent, block):
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
+@pytest.mark.parametrize(
+    "seed, size, percent, more",
+    [(1, 3, 90, {}), (2, 3, 90, {"frequent": (2, 6), "small": 2, "block": 4}), (3, 5, 80, {"frequent": (1, 1)}), (4, 5, 80, {"frequent": (1, 4), "small": 1, "block": 1024}), (5, 3, 85, {"frequent": (1, 2), "small": 4, "block": 6})],
+)
+def test_equals_brute_force(spark, seed, size, percent, more):
     rows = corpus(seed, 160)
-    assert got(spark, rows, size, percent) == brute(rows, size, percent)
+    assert got(spark, rows, size, percent, **more) == brute(rows, size, percent)
 
 
-def test_linked_sets_share_a_signature(monkeypatch):
-    monkeypatch.setattr(ngram_join, "FREQUENT", 3)
-    monkeypatch.setattr(ngram_join, "VERY_FREQUENT", 6)
-    monkeypatch.setattr(ngram_join, "LONG_SET", 40)
+def test_linked_sets_share_a_signature():
     rng = random.Random(4)
-    for percent in (80, 90):
+    kinds = set()
+    for percent in (80, 85, 90, 95):
         bounds = Bounds(percent)
-        for _ in range(1500):
-            df = {t: rng.choice((2, 3, 4, 6, 7, 9)) for t in range(200)}
-            x = set(rng.sample(range(200), rng.randint(bounds.smallest(), 60)))
+        for _ in range(600):
+            low = bounds.smallest()
+            x = set(rng.sample(range(1 << 20), rng.choice((rng.randint(low, low + 40), rng.randint(low, 900)))))
             y = set(x)
             for t in rng.sample(sorted(x), rng.randint(0, bounds.tau(len(x)))):
                 y.discard(t)
-            y |= set(rng.sample(range(200), rng.randint(0, 3)))
-            if bounds.linked(len(x), len(y), len(x & y)):
-                own = [set(signatures(np.array(sorted(s)), np.array([df[t] for t in sorted(s)]), len(s), bounds)) for s in (x, y)]
-                assert own[0] & own[1], (x, y)
+            y |= set(rng.sample(range(1 << 20), rng.randint(0, 1 + bounds.tau(len(x)))))
+            if not bounds.linked(len(x), len(y), len(x & y)):
+                continue
+            prefixes = [sorted(s)[: bounds.prefix(len(s))] for s in (x, y)]
+            shared = set(prefixes[0]) & set(prefixes[1])
+            assert len(shared) >= max(bounds.need(len(x)), bounds.need(len(y)))
+            repeated = shared | {t for p in prefixes for t in p if rng.random() < 0.5}
+            rare = rng.choice((0.0, 0.3, 0.9))
+            df = {t: 2 if rng.random() < rare else rng.choice((3, 4, 6, 7, 9)) for t in repeated}
+            own = [set(signatures(np.array([t for t in p if t in df]), np.array([df[t] for t in p if t in df]), len(s), bounds, (3, 6))) for p, s in zip(prefixes, (x, y))]
+            assert own[0] & own[1], (x, y)
+            assert all(len(o) <= 12 * len(s) for o, s in zip(own, (x, y)))
+            kinds |= {k[1] if len(k) > 2 else 0 for o in own for k in o}
+    assert kinds == {0, 1, 2}
+
+
+def test_smallest_sets():
+    for percent in range(80, 100):
+        low = Bounds(percent).smallest()
+        assert 100 * low >= percent * (low + 1) and 100 * (low - 1) < percent * low and Bounds(percent).need(low) >= 4
 
 
 def test_edge_rows(spark):

@@ -423,12 +423,17 @@ def _classed(docs: DataFrame, size: int, bounds: Bounds, frequent: tuple[int, in
     edges = materialize(_verify(near, sets, bounds), "links")
     labels = components(edges)
 
-    # Buckets of several components.
+    # Buckets of several components; after the first turn only large ones can hold further links.
+    several: DataFrame | None = None
     for last in (False, True):
         named = labels.withColumnRenamed("node", "nid")
         own = signed.join(named, "nid", "left").select(F.explode("sigs").alias("sig"), "nid", F.coalesce("label", "nid").alias("label"))
-        sizes = own.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b")
-        mixed = own.join(sizes.where(F.col("m") > small if last else F.lit(True)).select("sig", "m"), "sig").join(heads.select("nid", "n", "sketch"), "nid")
+        if several is None:
+            sizes = own.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("_a"), F.max("label").alias("_b"))
+            several = materialize(sizes.where("_a <> _b").select("sig", "m"), "several")
+        elif not (several := several.where(F.col("m") > small)).take(1):
+            break
+        mixed = own.join(several, "sig").join(heads.select("nid", "n", "sketch"), "nid")
         cut = mixed.withColumn("_cuts", F.ceil(F.col("m") / block).cast("int"))
         cut = cut.withColumn("block", F.pmod(F.xxhash64("nid"), F.col("_cuts")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)))
         dealt = cut.select("sig", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "nid", "n", "sketch", "block", "label", "m")

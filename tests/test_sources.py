@@ -54,6 +54,7 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).where(F.col("recall").between(0, 1)).count() > 0
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) >= 50
+    assert ("pipeline" in queries) == any(name.startswith("op1_") for name in queries)
 
 
 def test_sections_of_any_depth_are_unfolded(spark):

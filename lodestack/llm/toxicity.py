@@ -1,20 +1,28 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Five lexical transducers map words to symbols: insult, threat, target, negation
-and reported speech. A weighted acceptor reads a clause's symbols: its state
-holds whether a negation, a report or a target has been seen, and its arcs weigh
-an insult or threat by that state. The clause's weight is that of the acceptor's
-run; a document's score is a logistic function of its clauses' weights.
-
-The insult transducer is a set of word beginnings and whole words, learned from
-a bounded sample of labelled rows, as are the arcs' factors for negated and
-reported insults (from prior values) and the logistic function. The other four
-have small seed lists. Lexical scanning is one Aho-Corasick pass; the acceptor
-runs only over clauses with an insult or a threat.
+Five lexical transducers turn a clause's words into symbols: insult, threat,
+target, negation and reported speech. They are compiled into one machine, whose
+scan is an Aho-Corasick automaton over the insults and threats; only clauses
+with one of these are read. The symbols go through a weighted acceptor of
+clauses. Its state holds whether a negation and a report came before, and a
+promise: the machine guesses at the start whether the clause names a target
+anywhere, and only the path whose guess comes true is accepted. Each insult or
+threat takes an arc by that state: reported, negated, targeted (insult + target,
+threat + target) or plain, each head with four arcs of its own. An arc weighs the
+pattern's own weight times the arc's factor; a clause weighs the best accepted
+path (max-plus semiring), a document the sum of its clauses.
+
+Learned from a bounded sample of labelled rows: the insult transducer (word
+beginnings and whole words), the weights of the threats, the arcs' factors from
+prior values, and the logistic function that makes a score of a document's
+weight. The logistic function is fitted on weights of the same grammar, learned
+from the other half of the sample. The lists of threats, targets, negations and
+reports are small and fixed.
 
 Defined results: a null or empty text has weight 0 and gets the score of a text
-without matches; without labels nothing is learned and the seed lists alone
-count; repeated rows get equal scores; an empty table gives an empty table.
+without matches; without labels nothing is learned and the fixed lists alone
+count; repeated rows get equal scores, and count once in learning; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,16 +32,16 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.langid import fold
 
-#: Bounds of the labelled sample: rows of each label, and characters up to which a text is taken first.
+#: Bounds of the labelled sample: different texts of each label, and characters up to which a text is taken first.
 SAMPLE = {1: 900, 0: 1800}
 SHORT = 4_000
 MAX_PATTERNS = 2_000
@@ -42,29 +50,86 @@ SHORTEST, LONGEST = 3, 9
 LEAST_RATIO, LEAST_EVIDENCE, MOST_IN_TEXT = 6.0, 15.0, 5
 END = "$"
 
-THREATS = "kill murder destroy beat hurt stab shoot töten umbringen schlagen tuer frapper détruire matar golpear destruir".split()
-TARGETS = frozenset("you your yours u du dich dir euch ihr tu te toi vous ti usted ustedes vosotros".split())
-NEGATIONS = frozenset("not no never none isn't aren't don't nicht kein keine keinen nie pas jamais nunca jamás".split())
-REPORTS = frozenset("said says wrote quoted called reported sagte sagt schrieb dit disait écrit dijo dice escribió".split())
-NEGATION, REPORT, TARGET = 1, 2, 4
+THREATS = tuple("kill murder destroy beat hurt stab shoot töten umbringen schlagen tuer frapper détruire matar golpear destruir".split())
+TARGETS = tuple("you your yours u du dich dir euch ihr tu te toi vous ti usted ustedes vosotros".split())
+NEGATIONS = tuple("not no never none isn't aren't don't nicht kein keine keinen nie pas jamais nunca jamás".split())
+REPORTS = tuple("said says wrote quoted called reported sagte sagt schrieb dit disait écrit dijo dice escribió".split())
+
+INSULT, THREAT, TARGET, NEGATION, REPORT = "insult", "threat", "target", "negation", "report"
+HEADS = (INSULT, THREAT)
+#: The arcs of a head, the first that applies, and the factors that learning starts from.
+ARCS = {"reported": 0.4, "negated": 0.3, "targeted": 1.25, "plain": 1.0}
+#: Matches that a prior factor is worth, and uses that a threat's prior weight of 1 is worth.
+PRIOR_MATCHES, PRIOR_USES = 5, 5
 
 _WORD = re.compile(r"[\w']+")
 _CLAUSE_END = re.compile(r"[.!?;:\n]")
 
 
 @dataclass(frozen=True)
-class Grammar:
-    """Weights of the patterns ("stem" or, whole, "word$"), the factors of the context arcs, and the logistic function."""
+class Transducer:
+    """Words to one symbol: each pattern is a word's beginning or, with ``END``, a whole word, and has a weight."""
 
+    symbol: str
     patterns: tuple[tuple[str, float], ...]
-    negated: float = 0.3
-    reported: float = 0.4
-    targeted: float = 1.25
+
+
+def whole(symbol: str, words: tuple[str, ...]) -> Transducer:
+    return Transducer(symbol, tuple((w + END, 1.0) for w in words))
+
+
+@dataclass(frozen=True)
+class Grammar:
+    """The weights of insults and threats, the arcs' factors by (head, arc), and the logistic function."""
+
+    insults: tuple[tuple[str, float], ...]
+    threats: tuple[tuple[str, float], ...] = tuple((w + END, 1.0) for w in THREATS)
+    factors: tuple[tuple[tuple[str, str], float], ...] = tuple(((head, arc), f) for head in HEADS for arc, f in ARCS.items())
     #: Taken off for each word of a text: the share of words that matches make up in toxic texts.
     per_word: float = 0.0
     slope: float = 1.0
     intercept: float = -3.0
 
+    def transducers(self) -> list[Transducer]:
+        return [Transducer(INSULT, self.insults), Transducer(THREAT, self.threats), whole(TARGET, TARGETS), whole(NEGATION, NEGATIONS), whole(REPORT, REPORTS)]
+
+
+class Clauses:
+    """The acceptor: states (negated, reported, promise of a target: "none", "open" or "kept"), and its moves."""
+
+    def __init__(self, factors: dict[tuple[str, str], float]):
+        self.starts = [(False, False, "none"), (False, False, "open")]
+        self.moves: dict[tuple[tuple, str], tuple[tuple, str | None]] = {}
+        for negated in (False, True):
+            for reported in (False, True):
+                for promise in ("none", "open", "kept"):
+                    state = (negated, reported, promise)
+                    self.moves[state, NEGATION] = (True, reported, promise), None
+                    self.moves[state, REPORT] = (negated, True, promise), None
+                    if promise != "none":  # a target refutes the path that promised none
+                        self.moves[state, TARGET] = (negated, reported, "kept"), None
+                    arc = "reported" if reported else "negated" if negated else "plain" if promise == "none" else "targeted"
+                    for head in HEADS:
+                        self.moves[state, head] = state, arc
+        self.factors = factors
+
+    def best(self, symbols: list[tuple[str, float]]) -> tuple[float, list[tuple[str, str, float]]]:
+        """The weight of the best accepted path, and its (head, arc, pattern's weight)."""
+        found: tuple[float, list[tuple[str, str, float]]] = (-math.inf, [])
+        for start in self.starts:
+            state, total, taken = start, 0.0, []
+            for symbol, weight in symbols:
+                if (move := self.moves.get((state, symbol))) is None:
+                    break
+                state, arc = move
+                if arc is not None:
+                    total += weight * self.factors[symbol, arc]
+                    taken.append((symbol, arc, weight))
+            else:
+                if state[2] != "open" and total > found[0]:
+                    found = total, taken
+        return found
+
 
 class Acceptor:
     """The compiled grammar."""
@@ -73,68 +138,62 @@ class Acceptor:
         import ahocorasick
 
         self.grammar = grammar
-        self.weights = dict(grammar.patterns)
-        self.words = ahocorasick.Automaton()
-        for pattern in self.weights:
-            stem = pattern.removesuffix(END)
-            have = self.words.get(stem, ())
-            self.words.add_word(stem, (*have, pattern))
+        self.clause = Clauses(dict(grammar.factors))
+        self.context: dict[str, str] = {}
+        self.weights: dict[tuple[str, str], float] = {}
+        self.heads = ahocorasick.Automaton()
+        for t in grammar.transducers():
+            for pattern, weight in t.patterns:
+                stem = pattern.removesuffix(END)
+                if t.symbol in HEADS:
+                    self.weights[t.symbol, pattern] = weight
+                    self.heads.add_word(stem, (*self.heads.get(stem, ()), (t.symbol, pattern)))
+                else:
+                    self.context[stem] = t.symbol
         if self.weights:
-            self.words.make_automaton()
-        # Arc factors by state: the product of what the state has seen.
-        self.factor = [(grammar.negated if s & NEGATION else 1.0) * (grammar.reported if s & REPORT else 1.0) * (grammar.targeted if s & TARGET else 1.0) for s in range(8)]
+            self.heads.make_automaton()
 
-    def hits(self, text: str) -> Iterator[tuple[int, str]]:
-        """(start, pattern) of each lexical match at the start of a word, in order of its end."""
+    def hits(self, text: str) -> Iterator[tuple[int, tuple[str, str]]]:
+        """(start, (head, pattern)) of each match at the start of a word, in order of its end."""
         if not self.weights:
             return
-        for end, patterns in self.words.iter(text):
-            for pattern in patterns:
+        for end, patterns in self.heads.iter(text):
+            for head, pattern in patterns:
                 whole = pattern.endswith(END)
                 start = end + 1 - len(pattern) + whole
                 if start and (text[start - 1].isalnum() or text[start - 1] == "_"):
                     continue
                 if whole and end + 1 < len(text) and (text[end + 1].isalnum() or text[end + 1] == "_"):
                     continue
-                yield start, pattern
-
-    def clauses(self, text: str) -> Iterator[tuple[int, int, dict[int, str]]]:
-        """(start, end, pattern by start of word) of each clause with a match."""
-        found: dict[int, str] = {}
-        for start, pattern in self.hits(text):
-            if start not in found or self.weights[pattern] > self.weights[found[start]]:
-                found[start] = pattern
+                yield start, (head, pattern)
+
+    def clauses(self, text: str) -> Iterator[list[tuple[str, float]]]:
+        """The symbols of each clause with a match, each with its pattern's weight."""
+        found: dict[int, tuple[str, str]] = {}
+        for start, match in self.hits(text):
+            if start not in found or self.weights[match] > self.weights[found[start]]:
+                found[start] = match
         starts = sorted(found)
         i = 0
         while i < len(starts):
             begin = max(text.rfind(c, 0, starts[i]) for c in ".!?;:\n") + 1
             end = m.start() if (m := _CLAUSE_END.search(text, starts[i])) else len(text)
-            own = {}
             while i < len(starts) and starts[i] < end:
-                own[starts[i]] = found[starts[i]]
                 i += 1
-            yield begin, end, own
-
-    def runs(self, text: str, begin: int, end: int, matched: dict[int, str]) -> Iterator[tuple[str, int]]:
-        """(pattern, state) of each weighted arc that the acceptor takes in a clause."""
-        state = 0
-        for word in _WORD.finditer(text, begin, end):
-            if (pattern := matched.get(word.start())) is not None:
-                yield pattern, state
-            elif (w := word.group()) in NEGATIONS or w.endswith("n't"):
-                state |= NEGATION
-            elif w in REPORTS:
-                state |= REPORT
-            elif w in TARGETS:
-                state |= TARGET
+            symbols = []
+            for word in _WORD.finditer(text, begin, end):
+                if (match := found.get(word.start())) is not None:
+                    symbols.append((match[0], self.weights[match]))
+                elif (symbol := NEGATION if word.group().endswith("n't") else self.context.get(word.group())) is not None:
+                    symbols.append((symbol, 0.0))
+            yield symbols
+
+    def runs(self, text: str | None) -> Iterator[tuple[float, list[tuple[str, str, float]]]]:
+        """Of each clause with a match, the weight and the arcs taken."""
+        return map(self.clause.best, self.clauses((text or "").lower()))
 
     def weight(self, text: str | None) -> float:
-        low = (text or "").lower()
-        total = 0.0
-        for begin, end, matched in self.clauses(low):
-            for pattern, state in self.runs(low, begin, end, matched):
-                total += self.weights[pattern] * self.factor[state]
-        return total
+        return sum(w for w, _ in self.runs(text))
 
     def surplus(self, text: str | None) -> float:
         """The weight beyond what the text's length takes off."""
@@ -232,59 +291,79 @@ def _apart(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
+def _threat_weights(texts: list[str], toxic: list[bool]) -> dict[str, float]:
+    """The logarithm of how much larger a threat's share of words is in toxic texts, from 1 where it isn't used; 0 at least."""
+    uses, size = {True: Counter(), False: Counter()}, Counter()
+    for t, is_bad in zip(texts, toxic):
+        words = _WORD.findall(t)
+        uses[is_bad].update(w for w in words if w in THREATS)
+        size[is_bad] += len(words)
+    out = {}
+    for w in THREATS:
+        n = uses[True][w] + uses[False][w]
+        ratio = (uses[True][w] + 0.5) / (size[True] + 1) * (size[False] + 1) / (uses[False][w] + 0.5)
+        out[w + END] = max(0.0, (n * math.log(ratio) + PRIOR_USES) / (n + PRIOR_USES))
+    return out
+
+
+def _weighted(texts: list[str], toxic: list[bool]) -> Grammar:
+    """The transducers and the arcs' factors, without the logistic function."""
+    learned, per_word = learn_patterns(texts, toxic)
+    grammar = Grammar(tuple(sorted(learned.items())), tuple(sorted(_threat_weights(texts, toxic).items())), per_word=per_word)
+    # How often the matches of each arc stand in toxic texts, as against all of the head's.
+    own = Acceptor(grammar)
+    count, bad = Counter(), Counter()
+    for t, is_bad in zip(texts, toxic):
+        for _, taken in own.runs(t):
+            for head, arc, _ in taken:
+                count[head, arc] += 1
+                bad[head, arc] += is_bad
+    factors = []
+    for head in HEADS:
+        usual = (sum(bad[head, a] for a in ARCS) + PRIOR_MATCHES) / (sum(count[head, a] for a in ARCS) + PRIOR_MATCHES)
+        factors += [((head, arc), (bad[head, arc] / usual + PRIOR_MATCHES * prior) / (count[head, arc] + PRIOR_MATCHES)) for arc, prior in ARCS.items()]
+    return replace(grammar, factors=tuple(factors))
+
+
 def learn_grammar(rows: list[tuple[str, int]], share_toxic: float) -> Grammar:
     """The grammar from (text, label) rows; ``share_toxic``: of all labelled rows."""
-    seeds = {w + END: 1.0 for w in THREATS}
     rows = _apart([(t.lower(), y) for t, y in rows])
     texts, y = [t for t, _ in rows], np.array([label for _, label in rows], float)
     if not rows or y.min() == y.max():
-        return Grammar(tuple(sorted(seeds.items())))
+        return Grammar(())
     toxic = [bool(v) for v in y]
-    learned, per_word = learn_patterns(texts, toxic)
-    patterns = seeds | learned
-    # Scores for the logistic function come from patterns learned on the other half.
+    # Weights for the logistic function come from a grammar learned on the other half.
     x = np.zeros(len(texts))
     for half in (0, 1):
         other = [i for i in range(len(texts)) if i % 2 != half]
         if len({toxic[i] for i in other}) < 2:
             continue
-        part, rate = learn_patterns([texts[i] for i in other], [toxic[i] for i in other])
-        own = Acceptor(Grammar(tuple(sorted((seeds | part).items())), negated=1, reported=1, per_word=rate))
+        own = Acceptor(_weighted([texts[i] for i in other], [toxic[i] for i in other]))
         for i in range(half, len(texts), 2):
             x[i] = own.surplus(texts[i])
     weights = np.where(y == 1, share_toxic / y.mean(), (1 - share_toxic) / (1 - y.mean()))
-    # Factors of the context arcs: how often such matches stand in toxic texts, with the prior worth 5 matches.
-    full = Acceptor(Grammar(tuple(sorted(patterns.items()))))
-    counts = {NEGATION: [0, 0], REPORT: [0, 0]}
-    for t, label in zip(texts, y):
-        for begin, end, matched in full.clauses(t):
-            for _, state in full.runs(t, begin, end, matched):
-                for bit, n in counts.items():
-                    if state & bit:
-                        n[0] += 1
-                        n[1] += int(label)
-    factor = {bit: (n[1] + 5 * prior) / (n[0] + 5) for (bit, n), prior in zip(counts.items(), (0.3, 0.4))}
     slope, intercept = _logistic(x, y, weights)
-    return Grammar(tuple(sorted(patterns.items())), negated=factor[NEGATION], reported=factor[REPORT], per_word=per_word, slope=slope, intercept=intercept)
+    return replace(_weighted(texts, toxic), slope=slope, intercept=intercept)
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Grammar:
-    """Learns from a sample of labelled rows, by a hash of the key, that is small enough to be broadcast."""
+    """Learns from whole texts of a sample of labelled rows, by a hash of the text, that is small enough for the driver."""
     flags = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
     counts = {r["_label"]: r["count"] for r in flags.groupBy("_label").count().collect()}
     if len(counts) < 2:
         return learn_grammar([], 0.0)
     grains = 1 << 30
     hashed = F.pmod(F.xxhash64(F.col("_key"), F.lit(7)), F.lit(grains))
-    # Four times the sample is drawn, so that short texts can be taken first.
+    # Four times the sample is drawn, so that short and different texts can be taken first.
     near = F.when(F.col("_label") == 1, F.lit(int(grains * min(1, 4 * SAMPLE[1] / counts[1])))).otherwise(F.lit(int(grains * min(1, 4 * SAMPLE[0] / counts[0]))))
     drawn = F.broadcast(flags.where(hashed < near))
     rows = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).where(F.col("_text").isNotNull()).join(drawn, F.col("_doc") == F.col("_key"))
-    first = F.row_number().over(Window.partitionBy("_label").orderBy(F.char_length("_text") > SHORT, F.xxhash64("_text")))
-    wanted = F.when(F.col("_label") == 1, SAMPLE[1]).otherwise(SAMPLE[0])
-    sample = rows.select("_label", F.left(F.col("_text"), F.lit(10 * SHORT)).alias("_text"), first.alias("_n")).where(F.col("_n") <= wanted)
-    found = sorted(((r["_text"], r["_label"], r["_n"]) for r in sample.collect()), key=lambda r: (r[2], r[1], r[0]))
-    return learn_grammar([(t, y) for t, y, _ in found], counts[1] / (counts[0] + counts[1]))
+    rows = rows.select("_label", "_text", (F.char_length("_text") > SHORT).alias("_long"), F.xxhash64("_text").alias("_hash")).dropDuplicates(["_label", "_hash"])
+    found = []
+    for wanted, most in SAMPLE.items():
+        top = rows.where(F.col("_label") == wanted).orderBy("_long", "_hash").limit(most).collect()
+        found += [(n, wanted, r["_text"]) for n, r in enumerate(top)]
+    return learn_grammar([(t, y) for _, y, t in sorted(found)], counts[1] / (counts[0] + counts[1]))
 
 
 def score_texts(docs: DataFrame, grammar: Grammar, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,9 +5,15 @@ parsed greedily against it: each phrase is the longest match from where the last
 one ended. A language's entropy is its number of phrases, weighted by the
 logarithm of its text's length, per symbol; the language with the least wins.
 
-Texts are lower-cased and every stretch without letters becomes one space. Long
-texts are parsed in blocks of 1,024 symbols, so that many blocks advance through
-the automata together in numpy; a phrase ends at the end of its block.
+Texts are lower-cased and every stretch without letters becomes one space. A
+text is parsed whole, as are those of a batch together: at each step every text
+that is long enough advances by one symbol, in numpy, ``BLOCK`` steps at a time.
+
+The sample that is learned from is bounded by parameters: ``MAX_LANGUAGES``,
+``SAMPLE_DOCS`` different texts and ``SAMPLE_SYMBOLS`` of each language (of the
+last text taken, as much as fits), ``ALL_SYMBOLS`` of all. The ``MAX_LETTERS``
+most frequent letters have symbols of their own; all others share ``SHARED``
+symbols by a hash.
 
 Defined results: a null text, one without letters, and any text where nothing
 was learned give ``und`` with score 0; languages that tie go by name; repeated
@@ -27,13 +33,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bounds of the sample that is learned from: languages (the most frequent), documents and symbols of each, symbols of all.
-MAX_LANGUAGES, SAMPLE_DOCS, SAMPLE_SYMBOLS, ALL_SYMBOLS = 48, 60, 40_000, 200_000
+MAX_LANGUAGES, SAMPLE_DOCS, SAMPLE_SYMBOLS, ALL_SYMBOLS = 1000, 60, 40_000, 200_000
 #: Documents of this many characters are taken first.
 SHORT, LONG = 200, 4_000
-MAX_LETTERS = 120
-BLOCK, AT_ONCE, SLICE = 1024, 4096, 1 << 21
+MAX_LETTERS, SHARED = 120, 32
+#: Steps taken at a time, symbols parsed together, and characters made symbols at a time.
+BLOCK, TOGETHER, SLICE = 1024, 1 << 24, 1 << 21
 SHARPNESS = 4.0
-UNKNOWN, GAP = 0, 1
+GAP, FIRST = 0, 1
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -90,10 +97,11 @@ class CrossParser:
             for c in plain(text):
                 count[c] = count.get(c, 0) + 1
         known = [c for c in sorted(count, key=lambda c: (-count[c], c)) if c != " "][:MAX_LETTERS]
-        self.symbol = np.where(_letters(), np.uint8(UNKNOWN), np.uint8(GAP))
+        shared = np.arange(0x110000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+        self.symbol = np.where(_letters(), (shared % np.uint64(SHARED)).astype(np.uint8) + np.uint8(FIRST), np.uint8(GAP))
         for i, c in enumerate(known):
-            self.symbol[ord(c)] = i + 2
-        self.width = len(known) + 2
+            self.symbol[ord(c)] = FIRST + SHARED + i
+        self.width = FIRST + SHARED + len(known)
         tables, start, at = [], [], 0
         for _, text in texts:
             table = suffix_automaton(self.symbols(plain(text)).tolist(), self.width)
@@ -105,60 +113,54 @@ class CrossParser:
         self.weight = np.array([math.log2(len(plain(text)) + 2) for _, text in texts])
 
     def symbols(self, text: str) -> np.ndarray:
-        codes = self.symbol[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
-        gap = codes == GAP
-        return codes[~(gap & np.r_[False, gap[:-1]])]
-
-    def phrases(self, blocks: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each block against each language: shape (languages, blocks)."""
-        sizes = np.array([len(b) for b in blocks])
+        parts = [np.full(1, FIRST, np.uint8)]
+        for a in range(0, len(text), SLICE):
+            codes = self.symbol[np.frombuffer(text[a : a + SLICE].lower().encode("utf-32-le", "surrogatepass"), "<u4")]
+            gap = codes == GAP
+            parts.append(codes[~(gap & np.r_[parts[-1][-1] == GAP, gap[:-1]])] if len(codes) else codes)
+            if not len(parts[-1]):
+                parts.pop()
+        return np.concatenate(parts)[1:]
+
+    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Phrases of each text, given as symbols, against each language: shape (languages, texts)."""
+        sizes = np.array([len(t) for t in texts])
         order = np.argsort(-sizes, kind="stable")
-        grid = np.zeros((int(sizes.max(initial=0)), len(blocks)), np.uint8)
-        for column, i in enumerate(order):
-            grid[: sizes[i], column] = blocks[i]
-        running = np.searchsorted(-sizes[order], -np.arange(len(grid)), side="left")
-        out = np.zeros((len(self.names), len(blocks)), np.int64)
-        state = np.repeat(self.start, len(blocks), axis=1)
+        out = np.zeros((len(self.names), len(texts)), np.int64)
+        state = np.repeat(self.start, len(texts), axis=1)
         fresh = self.moves[self.start * self.width + np.arange(self.width)]  # a phrase's first move, by language and symbol
         fresh = np.where(fresh < 0, self.start, fresh)
-        for t, n in enumerate(running):
-            now = grid[t, :n]
-            to = self.moves[state[:, :n] * self.width + now]
-            ended = to < 0
-            out[:, :n] += ended | (state[:, :n] == self.start)  # a phrase begins here
-            state[:, :n] = np.where(ended, fresh[:, now], to)
+        for at in range(0, int(sizes.max(initial=0)), BLOCK):
+            steps = min(BLOCK, int(sizes.max()) - at)
+            grid = np.zeros((steps, int(np.count_nonzero(sizes > at))), np.uint8)
+            for column in range(grid.shape[1]):
+                part = texts[order[column]][at : at + steps]
+                grid[: len(part), column] = part
+            running = np.searchsorted(-sizes[order], -(np.arange(steps) + at), side="left")
+            for t, n in enumerate(running):
+                now = grid[t, :n]
+                to = self.moves[state[:, :n] * self.width + now]
+                ended = to < 0
+                out[:, :n] += ended | (state[:, :n] == self.start)  # a phrase begins here
+                state[:, :n] = np.where(ended, fresh[:, now], to)
         back = np.empty_like(out)
         back[:, order] = out
         return back
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits per symbol by text and language, and the number of letters of each text."""
-        bits, symbols, letters = np.zeros((len(self.names), len(texts))), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        blocks: list[np.ndarray] = []
-        owner: list[int] = []
-
-        def flush():
-            for a in range(0, len(blocks), AT_ONCE):
-                np.add.at(bits.T, owner[a : a + AT_ONCE], self.phrases(blocks[a : a + AT_ONCE]).T)
-            blocks.clear()
-            owner.clear()
-
-        waiting = 0
+        bits, symbols, letters = np.zeros((len(texts), len(self.names))), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        held: list[np.ndarray] = []
+        first = waiting = 0
         for i, text in enumerate(texts):
-            for a in range(0, len(text or ""), SLICE):
-                codes = self.symbols(text[a : a + SLICE])
-                symbols[i] += len(codes)
-                letters[i] += np.count_nonzero(codes != GAP)
-                if self.names:
-                    cut = [codes[b : b + BLOCK] for b in range(0, len(codes), BLOCK)]
-                    blocks += cut
-                    owner += [i] * len(cut)
-                    waiting += len(codes)
-                if waiting >= SLICE:
-                    flush()
-                    waiting = 0
-        flush()
-        return (bits * self.weight[:, None] / np.maximum(symbols, 1)).T, letters
+            codes = self.symbols(text or "")
+            symbols[i], letters[i] = len(codes), np.count_nonzero(codes != GAP)
+            held.append(codes)
+            waiting += len(codes)
+            if self.names and (waiting >= TOGETHER or i + 1 == len(texts)):
+                bits[first : i + 1] = self.phrases(held).T
+                held, first, waiting = [], i + 1, 0
+        return bits * self.weight / np.maximum(symbols, 1)[:, None], letters
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         bits, letters = self.entropies(texts)
@@ -176,7 +178,7 @@ def parser(model: tuple[tuple[str, str], ...]) -> CrossParser:
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[tuple[str, str], ...]:
-    """(language, text) of a bounded sample: whole documents, by a hash of their text, until the bound of symbols."""
+    """(language, text) of a bounded sample: different texts, by their hash, until the bound of symbols."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()}
     if not counts:
@@ -187,8 +189,11 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
     hashed = F.xxhash64(text)
     size = F.char_length(text)
     near = rows.where(F.col(lang).isin(list(counts)) & (F.pmod(hashed, F.lit(grains)) <= F.try_element_at(limits, F.col(lang))))
-    first = F.row_number().over(Window.partitionBy(lang).orderBy(~size.between(SHORT, LONG), hashed))
-    sample = near.select(F.col(lang).alias("lang"), F.left(F.col(text), F.lit(4 * symbols)).alias("text"), first.alias("n")).where(F.col("n") <= SAMPLE_DOCS)
+    near = near.select(F.col(lang).alias("lang"), F.left(F.col(text), F.lit(4 * symbols)).alias("text"), (~size.between(SHORT, LONG)).alias("odd"), hashed.alias("hash")).dropDuplicates(["lang", "hash"])
+    # The first of each language, found within salted parts before they meet.
+    parts = Window.partitionBy("lang", F.pmod("hash", F.lit(64))).orderBy("odd", "hash")
+    some = near.withColumn("n", F.row_number().over(parts)).where(F.col("n") <= SAMPLE_DOCS).drop("n")
+    sample = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("odd", "hash"))).where(F.col("n") <= SAMPLE_DOCS).select("lang", "text", "n")
     found: dict[str, str] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["n"])):
         have = found.get(r["lang"], "")

@@ -1,7 +1,9 @@
+import math
 import random
 
 import numpy as np
 
+from lodestack.llm import langid
 from lodestack.llm.langid import BLOCK, CrossParser, identify, learn, op1_langid, plain, suffix_automaton
 
 SCHEMA = "doc_id long, text string, lang string, lang_pred string, score string"
@@ -63,12 +65,27 @@ def test_edge_rows(spark):
     assert learn(df.limit(0)) == () and identify(df.limit(0), model).count() == 0
 
 
-def test_blocks_cover_long_texts():
-    own = CrossParser((("a", "ab ba " * 50),))
-    text = "ab ba zz " * 1000
-    bits, letters = own.entropies([text])
-    pieces = [own.symbols(text)[i : i + BLOCK] for i in range(0, len(own.symbols(text)), BLOCK)]
-    assert letters[0] == 6000 and abs(bits[0, 0] * len(own.symbols(text)) - own.weight[0] * own.phrases(pieces).sum()) < 1e-6
+def test_predictions_of_whole_long_texts_equal_brute_force(monkeypatch):
+    rng = random.Random(7)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(1, 6)))
+    models = tuple((name, " ".join(word(letters) for _ in range(60))) for name, letters in (("a", "abcd"), ("b", "bcde"), ("c", "cdef")))
+    own = CrossParser(models)
+    texts = [" ".join(word(rng.choice(("abcd", "bcde", "cdef"))) for _ in range(rng.choice((1, 5, 40, BLOCK)))) for _ in range(30)]
+    bits, letters = own.entropies(texts)
+    for i, t in enumerate(texts):
+        want = [math.log2(len(m) + 2) * brute_phrases(t, m) / len(t) for _, m in models]
+        assert np.allclose(bits[i], want) and letters[i] == sum(c != " " for c in t)
+        assert own.predict([t])[0] == [models[int(np.argmin(want))][0]]
+    monkeypatch.setattr(langid, "SLICE", 7)
+    monkeypatch.setattr(langid, "TOGETHER", 50)
+    assert np.allclose(own.entropies([t.replace(" ", " 1, ") for t in texts])[0], bits)
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60))
+    rows = [(i, "same words again " * 20, "en", None, None) for i in range(300)] + [(1000 + i, text(), "en", None, None) for i in range(100)]
+    assert dict(learn(spark.createDataFrame(rows, SCHEMA)))["en"].count("same words again") <= 20
 
 
 def test_held_out_accuracy(spark):

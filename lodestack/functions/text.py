@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The code points that count as white space, the 32 ASCII punctuation marks, and the listed CJK marks.
@@ -74,14 +74,27 @@ def sentences_zh(s: Column) -> Column:
 def sentences_zh_line(s: Column, rule: str = "intended") -> Column:
     """Sentences of a line for the model-driven chunker.
 
-    ``intended`` ends one behind each full stop. ``literal`` replicates pieces
-    that end at the first character after the sixth that isn't a full stop.
+    ``intended`` ends one behind each full stop. ``literal`` ends one behind a
+    character, not the first nor the last of the line, that is no full stop and
+    has no digit on either side, once the sentence has six characters besides
+    white space at its ends, which goes.
     """
     if rule == "intended":
         return F.filter(F.split(F.regexp_replace(s, "。", "。\u0001"), "\u0001"), lambda x: x != "")
     if rule != "literal":
         raise ValueError("rule is intended or literal")
-    return F.regexp_extract_all(s, F.lit("(?s).{6}[。]*|.+"), F.lit(0))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("at"))
+    n = F.char_length(s)
+    digit = lambda c: c.rlike("^[0-9]$")
+
+    def step(state: Column, c: Column) -> Column:
+        at, now = state["at"], F.concat(state["open"], c)
+        inner = (at >= 1) & (at < n - 1) & (c != "。") & ~digit(F.substr(s, at, F.lit(1))) & ~digit(F.substr(s, at + 2, F.lit(1)))
+        end = inner & (F.char_length(strip(now)) > 5)
+        return F.struct(F.when(end, F.concat(state["done"], F.array(strip(now)))).otherwise(state["done"]).alias("done"), F.when(end, F.lit("")).otherwise(now).alias("open"), (at + 1).alias("at"))
+
+    characters = F.filter(F.split(s, ""), lambda c: c != "")
+    return F.aggregate(characters, start, step, lambda x: F.when(x["open"] != "", F.concat(x["done"], F.array(x["open"]))).otherwise(x["done"]))
 
 
 def merge_short_sentences(sentences: Column, least: int = 10) -> Column:
@@ -123,12 +136,27 @@ def strip_heading(s: Column) -> Column:
 
 
 def text_to_sentences(line: Column, head: int, tail: int, mark: str | None = None) -> Column:
-    """A line's sentences for the chunker: heading set aside, sentences cut short, heading put back, one line each."""
-    level = heading_level(line)
-    bare = F.regexp_replace(line, "^[ #]*", "")
-    parts = F.when(level > 0, F.array(bare)).when(is_english(line), merge_short_sentences(sentences_en(line))).otherwise(sentences_zh_line(line))
-    prefix = F.when(level > 0, F.concat(F.repeat(F.lit("#"), level), F.lit(" "))).otherwise(F.lit(""))
-    return F.transform(parts, lambda x: F.concat(replace_heading(F.concat(prefix, truncate_sentence(x, head, tail)), mark), F.lit("\n")))
+    """A line's sentences for the chunker, one line each.
+
+    Each sentence has its heading marks set aside, is cut short, and gets the
+    marks back (or ``mark`` in their place).
+    """
+    parts = F.when(is_english(line), merge_short_sentences(sentences_en(line))).otherwise(sentences_zh_line(line))
+
+    def one(x: Column) -> Column:
+        level = heading_level(x)
+        cut = truncate_sentence(replace_heading(x, "# "), head, tail)
+        marked = F.when(level > 0, F.regexp_replace(cut, "^[ #]*", F.concat(F.repeat(F.lit("#"), level), F.lit(" ")))).otherwise(cut)
+        return F.concat(replace_heading(marked, mark), F.lit("\n"))
+
+    return F.transform(parts, one)
+
+
+def numbered_sentences(lines: DataFrame, head: int = 15, tail: int = 15, mark: str | None = None, start: int = 0, key: str = "doc_id") -> DataFrame:
+    """(key, i, text): the sentences of a document's lines (key, pos, text), counted on from ``start`` and led by their number."""
+    each = lines.select(key, "pos", F.posexplode(text_to_sentences(F.col("text"), head, tail, mark)).alias("_s", "text"))
+    i = F.row_number().over(Window.partitionBy(key).orderBy("pos", "_s")) - 1 + start
+    return each.select(key, i.alias("i"), index_format(i, F.col("text")).alias("text"))
 
 
 def index_format(i: Column, line: Column) -> Column:
@@ -161,7 +189,7 @@ def chunk_id_doc(s: Column) -> Column:
 
 
 def chunk_id_ordinal(s: Column) -> Column:
-    return F.regexp_extract(s, r"^(.*)_([0-9]+)$", 2).cast("int")
+    return F.regexp_extract(s, r"^(.*)_([0-9]+)$", 2).try_cast("int")
 
 
 def after_thinking(s: Column) -> Column:

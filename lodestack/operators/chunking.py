@@ -245,12 +245,29 @@ def cuts_to_chunks(paragraphs: Column, cuts: Column) -> Column:
 
 
 def semantic_breaks(vectors: DataFrame, percentile: float = 0.74, key: str = "doc_id") -> DataFrame:
-    """Adds ``chunk``: a new one where the cosine distance to the vector before is above the document's percentile."""
+    """Adds ``chunk``: a new one where the cosine distance to the vector before is above the document's percentile; a vector of zeros has none."""
     order = Window.partitionBy(key).orderBy("pos")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
     v, before = F.col("vec"), F.col("_before")
-    far = vectors.withColumn("_before", F.lag("vec").over(order)).withColumn("distance", F.round(1 - dot(v, before) / F.sqrt(dot(v, v) * dot(before, before)), 9))
+    far = vectors.withColumn("_before", F.lag("vec").over(order)).withColumn("distance", F.round(1 - F.try_divide(dot(v, before), F.sqrt(dot(v, v) * dot(before, before))), 9))
     limits = far.groupBy(key).agg(F.percentile("distance", F.lit(percentile)).alias("_limit"))
     cut = F.when(F.col("distance") > F.col("_limit"), 1).otherwise(0)
     marked = far.join(limits, key).withColumn("_cut", cut)
     return marked.withColumn("chunk", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_before", "_limit", "_cut")
+
+
+def buffered_groups(sentences: DataFrame, buffer: int = 1, key: str = "doc_id") -> DataFrame:
+    """Adds ``group``: each sentence (key, pos, text) with ``buffer`` neighbours on either side, joined by spaces."""
+    around = Window.partitionBy(key).orderBy("pos").rowsBetween(-buffer, buffer)
+    return sentences.withColumn("group", F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text")).over(around)), lambda x: x["text"]), " "))
+
+
+def semantic_chunks(docs: DataFrame, embed: Callable[[DataFrame], DataFrame], buffer: int = 1, percentile: float = 0.74, key: str = "doc_id") -> DataFrame:
+    """Splits (key, split_idx, text, level) of documents, cut where neighbouring groups of sentences are far apart; all are of level 1.
+
+    ``embed`` adds ``vec``, the vector of the column ``group``.
+    """
+    sentences = docs.select(key, F.posexplode(fn.sentences_en(F.col("text"))).alias("pos", "text"))
+    marked = semantic_breaks(embed(buffered_groups(sentences, buffer, key)), percentile, key)
+    parts = marked.groupBy(key, F.col("chunk").alias("split_idx")).agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_s"))
+    return parts.select(key, "split_idx", F.array_join(F.transform("_s", lambda x: x["text"]), " ").alias("text"), F.lit(1).alias("level"))

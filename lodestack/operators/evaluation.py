@@ -73,6 +73,22 @@ def dataset_scores(rows: DataFrame, group: list[str], item: str, score: Column)
     return best.groupBy(*group).agg(F.round(100 * F.sum("_b") / (F.count(F.lit(1)) + TINY), 2).alias("score"), F.count(F.lit(1)).alias("n"))
 
 
+def context_summary(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Per group: the mean length of contexts, and all merges."""
+    return rows.groupBy(*group).agg(F.avg("context_length").alias("mean_context_length"), F.coalesce(F.sum("merge_count"), F.lit(0)).cast("long").alias("merges"), F.count(F.lit(1)).alias("n"))
+
+
+def macro_average(scores: DataFrame, score: str = "score") -> DataFrame:
+    """One row: the mean of the data sets' scores, each counted alike, and how many have one."""
+    return scores.agg(F.avg(score).alias("macro"), F.count(score).alias("n_datasets"))
+
+
+def chunk_statistics(results: DataFrame, group: list[str], key: str = "doc_id", time: str = "time_cost", splits: str = "n_splits") -> DataFrame:
+    """Per group of documents (key, time, splits): their mean time and number of chunks; rows that repeat a document count once."""
+    one = results.groupBy(*group, key).agg(F.max(time).alias("_t"), F.max(splits).alias("_n"))
+    return one.groupBy(*group).agg(F.avg("_t").alias("mean_time"), F.avg("_n").alias("mean_chunks"), F.count(F.lit(1)).alias("n_docs"))
+
+
 def retrieval_score(evidence: Column, answer: Column) -> Column:
     """The evidence score, else the answer score, else null; 0 counts as missing."""
     return F.coalesce(F.nullif(evidence, F.lit(0.0)), F.nullif(answer, F.lit(0.0)))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import metrics
 from lodestack.functions import text as fn
-from lodestack.operators import chunking, context, evaluation, retrieval
-from lodestack.runtime import table
+from lodestack.operators import chunking, context, evaluation, joins, prompts, retrieval
+from lodestack.plans import runs
+from lodestack.runtime import materialize, table
+from lodestack.sources import readers, settings
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -103,7 +105,12 @@ def sentences(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(fn.sentences_en(F.col("text"))).alias("i", "s"))
 
 
-@query()
+@query(f"""with recursive s as (select doc_id, unnest({sents('text')}) as x, unnest(range(0, len({sents('text')}))) as i from documents),
+c as (select doc_id, {stripped('x')} as x, row_number() over (partition by doc_id order by i) as i from s where {stripped('x')} <> ''),
+walk as (select doc_id, i, x as joined from c where i = 1
+  union all select c.doc_id, c.i, case when length(w.joined) < 10 then w.joined || ' ' || c.x else c.x end from walk w join c on c.doc_id = w.doc_id and c.i = w.i + 1),
+done as (select doc_id, i, joined from walk where length(joined) >= 10 or (doc_id, i) in (select doc_id, max(i) from c group by doc_id))
+select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as i, joined as s from done""")
 def sentences_merged(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(fn.merge_short_sentences(fn.sentences_en(F.col("text")))).alias("i", "s"))
 
@@ -254,9 +261,7 @@ def knn_local(spark: SparkSession, d: str) -> DataFrame:
 select qid, row_number() over (partition by qid order by round(score, 9) desc, chunk)::int as rank, chunk, round(score, 9) as score from s qualify rank <= 10""")
 def knn_global(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk"), F.col("embedding").alias("vec"))
-    found = retrieval.search_global(rows.where("chunk % 20 = 0").withColumnRenamed("chunk", "qid"), rows, 12)
-    again = found.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk")))
-    return again.where("rank <= 10")
+    return retrieval.search_global(rows.where("chunk % 20 = 0").withColumnRenamed("chunk", "qid"), rows, 10, digits=9)
 
 
 @query()
@@ -279,12 +284,7 @@ def embed_search(spark: SparkSession, d: str) -> DataFrame:
 def shard_assign(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select("vec_id")
     total = rows.count()
-    # The ordinal of a key is the number of smaller keys, counted in ranges of keys and within each.
-    part = F.floor(F.col("vec_id") / 1024)
-    sizes = rows.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    ranked = rows.withColumn("_p", part).withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("vec_id")))
-    return ranked.join(starts, "_p").select("vec_id", retrieval.shard_ids(F.col("_before") + F.col("_i") - 1, F.lit(total), 7).alias("shard"))
+    return retrieval.ordinals(rows, "vec_id").select("vec_id", retrieval.shard_ids(F.col("ordinal"), F.lit(total), 7).alias("shard"))
 
 
 @query("select user_id, event_type, min(event_id) as event_id from events group by user_id, event_type")
@@ -370,7 +370,13 @@ def rouge_l(spark: SparkSession, d: str) -> DataFrame:
     return pairs_of(spark, d).select("conv_id", "turn", F.round(metrics.rouge_l("pred", "truth"), 9).alias("f"))
 
 
-@query()
+@query(f"""with {PAIRS}, t as (select conv_id, turn, {spaced('pred')} as a, {spaced('truth')} as b from pairs),
+g as (select conv_id, turn, n, 1 as ca, 0 as cb, unnest(list_transform(range(1, len(a) - n + 2), lambda i: array_to_string(a[i:i + n - 1], chr(1)))) as gram from t, (select unnest([1, 2, 3, 4]) as n)
+  union all select conv_id, turn, n, 0, 1, unnest(list_transform(range(1, len(b) - n + 2), lambda i: array_to_string(b[i:i + n - 1], chr(1)))) from t, (select unnest([1, 2, 3, 4]) as n)),
+k as (select conv_id, turn, n, gram, sum(ca) as ca, sum(cb) as cb from g group by all),
+p as (select conv_id, turn, n, sum(least(ca, cb)) as hits, sum(ca) as total from k group by all),
+l as (select conv_id, turn, sum(case when hits > 0 then ln(hits / total) / 4 end) as logs, count(*) filter (hits > 0) as orders from p group by all)
+select conv_id, turn, round(case when orders = 4 then exp(logs + case when len(a) >= len(b) then 0 else 1 - len(b) / len(a) end) else 0 end, 9) as bleu from t left join l using (conv_id, turn)""")
 def bleu(spark: SparkSession, d: str) -> DataFrame:
     return pairs_of(spark, d).select("conv_id", "turn", F.round(metrics.bleu(fn.split_space(F.col("pred")), fn.split_space(F.col("truth"))), 9).alias("bleu"))
 
@@ -380,16 +386,8 @@ HIT = f"select item_id, doc_id, source, b.text as evidence, length(b.text) as n,
 
 @query(f"select item_id, doc_id from ({HIT}) where hit")
 def evidence_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """The stated evidences against all documents: the table of evidences is sent only if it is small, else in blocks."""
-    items = table(spark, d, "benchmark").select("item_id", fn.normalize_answer(F.col("text")).alias("e"))
-    docs = table(spark, d, "documents").select("doc_id", fn.normalize_answer(F.col("text")).alias("t"))
-    found = None
-    rows = items.collect()
-    for a in range(0, len(rows), 1024):
-        block = F.array(*[F.struct(F.lit(r["item_id"]).alias("i"), F.lit(r["e"]).alias("e")) for r in rows[a : a + 1024]])
-        part = docs.select("doc_id", F.explode(F.filter(block, lambda x: F.contains(F.col("t"), x["e"]))).alias("x")).select(F.col("x.i").alias("item_id"), "doc_id")
-        found = part if found is None else found.unionByName(part)
-    return found
+    """The evidences that stand in each document."""
+    return joins.contained(table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents").select("doc_id", "text"))
 
 
 @query(f"""with recursive {CHUNKS}, c as (select doc_id, {norm('c.text')} as t from chunks c), b as (select item_id, {norm('text')} as e, length(text) as n from benchmark),
@@ -398,7 +396,7 @@ h as (select w.item_id, w.doc_id, b.n, max(case when contains(c.t, b.e) then 1.0
 select source, round(sum(hit * n) / (sum(n) + 1e-20), 9) as recall, count(*) as n_evidences from h join documents using (doc_id) group by source""")
 def evidence_survival(spark: SparkSession, d: str) -> DataFrame:
     """How much of the evidence that a document holds stands whole in one of its fixed-size chunks, by source."""
-    held = evidence_pairs(spark, d)
+    held = materialize(evidence_pairs(spark, d), "held")
     items = table(spark, d, "benchmark").select("item_id", "text")
     docs = table(spark, d, "documents")
     chunks = chunking.fixed_chunks(docs.join(held.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", F.col("text").alias("chunk"))
@@ -492,3 +490,128 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
 
     rows = pairs_of(spark, d).select("conv_id", "turn", F.col("pred").alias("context"), F.col("truth").alias("input"))
     return generate(rows, fn.fill_template("{context}\n\nQuestion: {input}\n", context=F.col("context"), input=F.col("input")))
+
+
+# --- questions, settings, prompts and runs
+
+
+TURNS = "qas as (select conv_id as _id, turn as index, text as input from conversations)"
+
+
+def questions_of(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("_id"), F.col("turn").alias("index"), F.col("text").alias("input"))
+
+
+@query(f"with {SPLITS}, {TURNS} select _id, index, split_idx, level from qas join splits on doc_id = _id")
+def qa_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return joins.questions_with(questions_of(spark, d), splits_of(table(spark, d, "documents")).drop("text")).select("_id", "index", "split_idx", "level")
+
+
+@query(f"with {TURNS} select _id, index, length(text)::int as n_chars from qas join documents on doc_id = _id where text is not null")
+def qa_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.char_length("text").alias("n_chars"))
+    return joins.questions_with(questions_of(spark, d), docs).select("_id", "index", "n_chars")
+
+
+@query(f"with {TURNS} select _id, count(*) as n from qas where _id not in (select doc_id from documents where doc_id % 2 = 0) group by _id")
+def qa_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return joins.unmatched(questions_of(spark, d), table(spark, d, "documents").where("doc_id % 2 = 0"))
+
+
+@query(f"""with recursive {CHUNKS}, r as (select doc_id as index, unnest([doc_id || '_0', doc_id || '_2', 'x_1']) as chunk_id, unnest([1, 2, 3]) as rank from documents)
+select index, rank::int as rank, chunk_id, text from r join chunks on chunk_id = doc_id || '_' || ordinal""")
+def retrieved_chunks(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    key = F.col("doc_id").cast("string")
+    found = docs.select(F.col("doc_id").alias("index"), F.array(F.concat(key, F.lit("_0")), F.concat(key, F.lit("_2")), F.lit("x_1")).alias("retrieved_ids"))
+    return joins.retrieved_chunks(found, chunking.fixed_chunks(docs))
+
+
+def settings_of(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("en", "Text: {context} Question: {input}", 60), ("de", "{input} ({context})", 40)], "name string, prompt string, max_length int")
+
+
+@query(f"""with s as (select * from (values ('en', 'Text: ', ' Question: ', 60), ('de', '', '', 40)) v(name, x, y, most)),
+f as (select doc_id, case when lang = 'en' then 'Text: ' || coalesce(text, '') || ' Question: ' || coalesce(source, '') when lang = 'de' then coalesce(source, '') || ' (' || coalesce(text, '') || ')' else coalesce(source, '') || coalesce(text, '') end as p, coalesce(most, 100) as most from documents left join s on name = lang),
+w as (select doc_id, p, most, {spaced('p')} as w from f),
+c as (select doc_id, case when len(w) > most then array_to_string(w[1:most // 2], ' ') || array_to_string(w[len(w) - most // 2 + 1:], ' ') else p end as prompt from w)
+select doc_id, prompt, len({spaced('prompt')})::int as context_length from c""")
+def prompt_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts by language, cut to the language's length; other languages take the default."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.col("source").alias("input"), F.col("text").alias("context"))
+    rows = settings.with_settings(docs, settings_of(spark), "lang", default={"prompt": "{input}{context}", "max_length": 100})
+    return prompts.prompts(rows).select("doc_id", "prompt", "context_length")
+
+
+@query(f"""with {TURNS}, m as (select unnest([0, -1]) as budget) select _id, index, budget::int as budget, case when budget = 0 then '' else text end as context, 0 as merge_count from qas cross join m left join documents on doc_id = _id""")
+def context_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts of the modes without retrieval: none, and the whole document."""
+    qas, docs = questions_of(spark, d), table(spark, d, "documents")
+    parts = [prompts.contexts(qas, budget, docs=docs).withColumn("budget", F.lit(budget)) for budget in (0, -1)]
+    return parts[0].unionByName(parts[1]).select("_id", "index", "budget", "context", "merge_count")
+
+
+@query("""select lang, round(avg(length(text)), 6) as mean_context_length, sum(doc_id % 4)::bigint as merges, count(*) as n from documents where text is not null group by lang""")
+def context_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").where("text is not null").select("lang", F.char_length("text").alias("context_length"), (F.col("doc_id") % 4).alias("merge_count"))
+    return evaluation.context_summary(rows, ["lang"]).withColumn("mean_context_length", F.round("mean_context_length", 6))
+
+
+@query("select round(avg(s), 9) as macro, count(s) as n_datasets from (select source, round(avg(doc_id % 7), 9) as s from documents group by source)")
+def macro_average(spark: SparkSession, d: str) -> DataFrame:
+    scores = table(spark, d, "documents").groupBy("source").agg(F.round(F.avg(F.col("doc_id") % 7), 9).alias("score"))
+    return evaluation.macro_average(scores).withColumn("macro", F.round("macro", 9))
+
+
+@query(f"with {LINES}, n as (select doc_id, count(*) as n from lines group by doc_id) select lang, round(avg((doc_id % 10)::double), 9) as mean_time, round(avg(n), 9) as mean_chunks, count(*) as n_docs from n join documents using (doc_id) group by lang")
+def chunk_statistics(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    rows = docs.where("text is not null").select("lang", "doc_id", (F.col("doc_id") % 10).cast("double").alias("time_cost"), F.size(F.split("text", "\n")).alias("n_splits"))
+    found = evaluation.chunk_statistics(rows, ["lang"])
+    return found.withColumns({c: F.round(c, 9) for c in ("mean_time", "mean_chunks")})
+
+
+@query("select l_orderkey, count(*)::int as n, count(*) = count(distinct l_linenumber % 4) as \"unique\" from lineitem group by l_orderkey")
+def unique_leaves(spark: SparkSession, d: str) -> DataFrame:
+    lists = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_linenumber") % 4).alias("leaves"))
+    return joins.unique_leaves(lists, "leaves", "l_orderkey")
+
+
+@query("select vec_id as chunk, len(embedding)::int as width from embeddings union all select vec_id + 1000000, len(embedding)::int from embeddings")
+def bulk_load(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk"), F.col("embedding").alias("vec"))
+    return retrieval.bulk_load(rows, rows.withColumn("chunk", F.col("chunk") + 1_000_000)).select("chunk", F.size("vec").alias("width"))
+
+
+@query("select doc_id, lang from documents where lang in ('en', 'fr')")
+def allowed_datasets(spark: SparkSession, d: str) -> DataFrame:
+    return readers.of_datasets(table(spark, d, "documents").select("doc_id", "lang"), ["en", "fr"], "lang")
+
+
+@query("select doc_id as index, case when doc_id % 2 = 0 then [source] else [] end as evidences, [] :: varchar[] as facts, [lang] as retrieved_ids from documents where doc_id % 3 = 0")
+def resume_refreshed(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    history = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("index"), F.array(F.lit("old")).alias("evidences"), F.array(F.lit("old")).alias("retrieved_ids"))
+    rows = docs.select(F.col("doc_id").alias("index"), F.when(F.col("doc_id") % 2 == 0, F.array("source")).alias("evidences"), F.array("lang").alias("retrieved_ids"))
+    return retrieval.refreshed(history, rows).select("index", "evidences", "facts", "retrieved_ids")
+
+
+@query(f"""with {LINES}, s as (select doc_id, pos, text, case when pos = 0 then 1 else 1 + pos % 3 end as level from lines)
+select doc_id || '.txt' as file, '{{"splits": [' || string_agg('[' || to_json(text || chr(10)) || ', ' || level || ']', ', ' order by pos) || ']}}' as result from s group by doc_id""")
+def chunk_results(spark: SparkSession, d: str) -> DataFrame:
+    return readers.chunk_results(splits_of(table(spark, d, "documents")))
+
+
+@query()
+def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents cut where the hashing encoder puts neighbouring groups of sentences far apart."""
+    return chunking.semantic_chunks(table(spark, d, "documents"), lambda rows: retrieval.embed(rows, "group"))
+
+
+@query()
+def run_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """A whole run: documents of two languages cut into fixed chunks, each question's best eight of its own document."""
+    docs = table(spark, d, "documents").where("text is not null").withColumn("dataset", F.col("lang"))
+    qas = questions_of(spark, d).join(docs.select(F.col("doc_id").alias("_id"), "dataset"), "_id").withColumn("index", F.xxhash64("_id", "index"))
+    done = runs.run_all(runs.Run(top_k=8, datasets=("en", "de")), docs, qas)
+    return done.select("index", "_id", F.size("retrieved_ids").alias("n"), "retrieved_ids")

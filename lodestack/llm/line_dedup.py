@@ -12,8 +12,9 @@ suspected; beyond it ever more are, which costs shuffle but never a result. The
 confirmed keys are broadcast only up to a checked number; beyond that they are
 joined, salted, to the suspects and by document to the texts.
 
-Defined results: a null text is one empty line; empty keys stay; each row of a
-repeated document counts as a document; an empty table gives an empty table.
+Defined results: a null text is one empty line; empty keys stay; rows that repeat
+a document's key, or have none, count as one document; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -175,12 +176,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fi
     shared = spark.sparkContext.broadcast(twice_seen(docs, column, min_chars, max_bits))
     found = T.StructType([T.StructField("_doc", kind), T.StructField("_key", T.BinaryType()), T.StructField("_line", T.LongType())])
     suspects = docs.select(key, column).mapInArrow(_suspects(key, column, min_chars, shared), found)
-    # Every suspect of a document has its own row, so a plain count, combined on the map side, counts documents.
-    confirmed = materialize(suspects.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_doc", "_line")).alias("_first")).where(F.col("_n") >= min_docs).select("_key", F.col("_first._doc").alias("_first_doc"), F.col("_first._line").alias("_first_line")), "lines")
+    # A row for each key and document, then a plain count; both are combined on the map side.
+    held = suspects.groupBy("_key", "_doc").agg(F.min("_line").alias("_line"))
+    counted = held.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_doc", "_line")).alias("_first"))
+    confirmed = materialize(counted.where(F.col("_n") >= min_docs).select("_key", F.col("_first._doc").alias("_first_doc"), F.col("_first._line").alias("_first_line")), "lines")
     out = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     schema = pa.schema([pa.field(f.name, pa.null()) for f in out.fields])
 
-    if len(confirmed.take(broadcast_keys + 1)) <= broadcast_keys:
+    if confirmed.count() <= broadcast_keys:
         firsts = {bytes(r["_key"]): (r["_first_doc"], r["_first_line"]) for r in confirmed.collect()}
         known = spark.sparkContext.broadcast(firsts)
 

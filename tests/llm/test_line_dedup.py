@@ -15,9 +15,9 @@ def brute(rows, min_docs, min_chars=1, keep_first=False):
     """(doc_id, n_lines, n_dropped, text) of each row."""
     key = lambda x: x.strip(SPACE).translate(LOWER)
     held, first = defaultdict(set), {}
-    for at, (doc, text) in enumerate(rows):
+    for doc, text in rows:
         for n, line in enumerate((text or "").split("\n")):
-            held[key(line)].add(at)
+            held[key(line)].add(doc)
             first[key(line)] = min(first.get(key(line), (doc, n)), (doc, n))
     out = []
     for doc, text in rows:
@@ -46,9 +46,14 @@ def test_equals_brute_force(spark, more):
     assert ran(spark, rows, min_docs=5, **more) == brute(rows, 5, **plain)
 
 
-def test_repeated_rows_count_as_documents(spark):
-    rows = [(1, "a\nb")] * 10 + [(2, "b")]
-    assert ran(spark, rows, min_docs=10) == brute(rows, 10)
+def test_rows_that_repeat_a_key_count_once(spark):
+    rows = [(1, "a\nb")] * 10 + [(2, "b"), (3, "c"), (3, "c\nd"), (4, "c\nd"), (None, "e"), (None, "e"), (5, "e\nf")]
+    for least in (2, 3, 10):
+        got = ran(spark, [r for r in rows if r[0] is not None], min_docs=least)
+        assert got == brute([r for r in rows if r[0] is not None], least)
+    nulls = spark.createDataFrame([(i, t, None, "x", 5, 5) for i, t in rows], SCHEMA)
+    assert {(r.doc_id, r.text) for r in dedup_lines(nulls, min_docs=2).collect() if r.doc_id in (None, 5)} == {(None, ""), (5, "f")}
+    assert {(r.doc_id, r.text) for r in dedup_lines(nulls, min_docs=3).collect() if r.doc_id is None} == {(None, "e")}
 
 
 def test_filter_holds_every_repeat_and_few_others(spark):

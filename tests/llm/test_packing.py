@@ -48,6 +48,12 @@ def test_ids_equal_the_library(library, text):
         assert np.frombuffer(byte_bpe().ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_of_the_corpus_equal_the_library(spark, library):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(byte_bpe().ids(text), "<u4").tolist() == want.ids
+
+
 def verify(rows, texts, library):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestack.llm.media import SIGNATURE, cosine_hash, decode_png, encode_png, op7_media, read_media, to_media
+from lodestack.llm.media import LOW, SIDE, SIGNATURE, cosine_hash, decode_png, decode_pngs, encode_png, encode_pngs, filter_rows, op7_media, payload_image, read_media, read_png, to_media, unfilter_rows
 
 SCHEMA = "doc_id long, text string, lang string, media string, feature string"
 
@@ -20,6 +20,47 @@ def test_round_trip_with_every_filter(height, width, seed, kinds):
     assert (decode_png(encode_png(pixels)) == pixels).all()
 
 
+def plain_unfilter(rows, kinds):
+    """Sample by sample, as the format's text has it."""
+    out = [[0] * rows.shape[1] for _ in rows]
+    for y, (row, kind) in enumerate(zip(rows.tolist(), kinds.tolist())):
+        for x, v in enumerate(row):
+            a, b, c = (out[y][x - 1] if x else 0), (out[y - 1][x] if y else 0), (out[y - 1][x - 1] if x and y else 0)
+            p = a + b - c
+            paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            out[y][x] = (v + (0, a, b, (a + b) // 2, paeth)[kind]) % 256
+    return np.array(out, np.uint8)
+
+
+def test_unfiltering_equals_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        heights = rng.integers(1, 12, 4)
+        rows, kinds = rng.integers(0, 256, (heights.sum(), rng.integers(1, 9)), dtype=np.uint8), rng.integers(0, 5, heights.sum(), dtype=np.uint8)
+        parts = np.split(np.arange(len(rows)), np.cumsum(heights)[:-1])
+        want = np.concatenate([plain_unfilter(rows[i], kinds[i]) for i in parts])
+        assert (unfilter_rows(rows, kinds, heights) == want).all()
+        assert (filter_rows(want, kinds, heights)[0] == rows).all()
+
+
+def test_many_images_equal_one_by_one():
+    texts = [b"", b"a", bytes(range(256)) * 3, "Ünder the hill. ".encode() * 90, b"z" * 64]
+    files = encode_pngs([payload_image(t) for t in texts])
+    assert files == [encode_png(payload_image(t)) for t in texts]
+    assert all((a == b).all() and (a == payload_image(t)).all() for a, b, t in zip(decode_pngs(files), map(decode_png, files), texts))
+    assert {k for f in files for k in read_png(f)[:, 0].tolist()} - {0}  # filters are in use
+
+
+def test_hash_equals_plain_cosines():
+    rng = np.random.default_rng(6)
+    image = rng.integers(0, 256, (96, 64)).astype(np.uint8)
+    small = image.reshape(SIDE, 3, SIDE, 2).astype(float).mean(axis=(1, 3))
+    wave = lambda k, i: np.cos(np.pi * k * (2 * i + 1) / (2 * SIDE))
+    low = [sum(small[i, j] * wave(u, i) * wave(v, j) for i in range(SIDE) for j in range(SIDE)) for u in range(LOW) for v in range(LOW)]
+    middle = np.median(low[1:])
+    assert cosine_hash(image) == "%016x" % int("".join("1" if x > middle else "0" for x in low), 2)
+
+
 def test_known_file():
     """One black and one white sample, put together by hand."""
     raw = zlib.compress(b"\0\x00\xff")

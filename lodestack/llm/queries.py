@@ -18,5 +18,6 @@ QUERIES = {
 }
 ORACLES = {
     "op4_line_dedup": line_dedup.ORACLE,
+    "op8_sharding": sharding.ORACLE,
     "op10_quality": quality.ORACLE,
 }

@@ -5,7 +5,7 @@ lands below the number of shards is the key's shard. There is no ring table, and
 one more shard takes its fair part of the rows and moves no other row.
 
 Defined results: a null key counts as key 0; repeated rows get equal shards and
-slots of their own; an empty table gives an empty table; extra columns stay.
+slots of their own, in the order of key, checksum and size; an empty table gives an empty table; extra columns stay.
 """
 
 from __future__ import annotations
@@ -13,13 +13,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.llm.names import fresh
+from lodestack.runtime import materialize
+
 # The multiplier of the published generator, and 2^64.
 MULTIPLIER = 2862933555777941757
 TWO_64 = 18446744073709551616
-#: A key jumps about ln(shards) times; more than this many jumps don't occur.
+#: Jumps that are walked up to this many shards; beyond it as many as the logarithm of their number, 40 times over.
 MAX_JUMPS = 128
 
 
+def _jumps(shards: int) -> int:
+    """A bound of a key's jumps: one for each shard at most; a key that jumps 40 times as often as usual does not occur."""
+    return min(shards, max(MAX_JUMPS, 40 * shards.bit_length()))
+
+
 def jump_shard(key: str, shards: int) -> Column:
     """The shard, 0 to ``shards`` - 1, of the integer column ``key`` (its 64 bits, unsigned)."""
     if shards < 1:
@@ -31,23 +39,25 @@ def jump_shard(key: str, shards: int) -> Column:
     drawn = f"cast((s.k * cast({MULTIPLIER} as decimal(19,0)) + 1) % cast({TWO_64} as decimal(20,0)) as decimal(20,0))"
     moved = f"cast((s.j + 1) * (2147483648D / cast(({drawn} div 8589934592) + 1 as double)) as bigint)"
     step = f"if(s.j < {shards}, {state.format(k=drawn, b='s.j', j=moved)}, s)"
-    return F.expr(f"cast(aggregate(sequence(1, {min(shards, MAX_JUMPS)}), {start}, (s, i) -> {step}, s -> s.b) as int)")
+    return F.expr(f"cast(aggregate(sequence(1, {_jumps(shards)}), {start}, (s, i) -> {step}, s -> s.b) as int)")
 
 
-def with_slots(df: DataFrame, shard: str, order: list[str], buckets: int = 4096) -> DataFrame:
-    """Adds ``slot``: 0, 1, 2 ... within each shard, without a gap.
+def with_slots(df: DataFrame, shard: str, order: list[str]) -> DataFrame:
+    """Adds ``slot``: 0, 1, 2 ... within each shard, in the order of the columns ``order``, without a gap.
 
-    A shard may be far larger than a task's memory, so its rows are dealt into
-    ``buckets`` by a hash of the ``order`` columns; a slot is the number of rows
-    in the shard's earlier buckets plus the rank within the bucket. The counts
-    need only the order columns, and there are ``shards * buckets`` of them.
+    A shard may be far larger than a task's memory, so rows are sorted by ranges
+    of shard and order: a slot is the number of the shard's rows in earlier
+    ranges plus the place among those of its own. There is a row of counts for
+    each range, and one more for each shard.
     """
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy(shard, "_bucket").agg(F.count(F.lit(1)).alias("_n")).select(shard, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(shard, "_bucket").orderBy(*order)
-    ranked = dealt.withColumn("_rank", F.row_number().over(within))
-    return ranked.join(offsets, [shard, "_bucket"]).withColumn("slot", (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_bucket", "_rank", "_before")
+    at, part, before, first = (fresh(df, n) for n in ("_at", "_part", "_before", "_first"))
+    placed = materialize(df.orderBy(shard, *order).withColumn(at, F.monotonically_increasing_id()), "sorted")
+    placed = placed.withColumn(part, F.shiftrightunsigned(at, 33))
+    counts = placed.groupBy(shard, part).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias(first))
+    earlier = Window.partitionBy(shard).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(shard).alias("_shard"), F.col(part).alias("_range"), first, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(before))
+    joined = placed.join(F.broadcast(starts), placed[shard].eqNullSafe(starts["_shard"]) & (placed[part] == starts["_range"]))
+    return joined.withColumn("slot", (F.col(before) + F.col(at) - F.col(first)).cast("long")).drop(at, part, before, first, "_shard", "_range")
 
 
 def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -61,9 +71,27 @@ def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str
         F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("text_crc32"),
     )
     rows = rows.withColumn("shard", jump_shard("doc_id", shards)).withColumn("grown_shard", jump_shard("doc_id", shards + 1))
-    return with_slots(rows, "shard", ["doc_id"])
+    # Written first: sorting by ranges looks at the rows twice.
+    return with_slots(materialize(rows, "rows"), "shard", ["doc_id", "text_crc32", "size"])
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return shard_documents(docs, 24).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+ORACLE = r"""
+with recursive bits as (select n, n as c, 0 as i from (select unnest(range(0, 256))::bigint as n)
+  union all select n, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i + 1 from bits where i < 8),
+crcs as (select list(c order by n) as t from bits where i = 8),
+raw as (select doc_id, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as h from documents),
+sums as (select doc_id, octet_length(encode(text)) + 8 as size,
+  xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::bigint)),
+    lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295::bigint) as text_crc32 from raw, crcs),
+walk as (select doc_id, doc_id::uhugeint as k, -1::bigint as b, 0::bigint as j, 0 as n from documents
+  union all select doc_id, d, j, floor((j + 1) * (2147483648::double / ((d // 8589934592) + 1)::double))::bigint, n from (
+    select *, (k * 2862933555777941757::uhugeint + 1) % 18446744073709551616::uhugeint as d from walk where j < 25)),
+shards as (select doc_id, max(case when j >= 24 and b < 24 then b end) as a, max(case when j >= 25 then b end) as g from walk group by doc_id)
+select doc_id, size, text_crc32, 'key' as law, a::int as shard, row_number() over (partition by a order by doc_id) - 1 as slot, g::int as grown_shard
+from sums join shards using (doc_id)
+"""

@@ -7,7 +7,9 @@ above the host's limit are taken out everywhere but in the first document that
 holds them. A document of which too few words are left is rejected.
 
 Defined results: a null text has no words and fails; a null host is a host of
-its own; repeated rows are judged alike; an empty table gives an empty table.
+its own; a null key loses the lines of which a document with a key is the first;
+rows that share a key are judged by their own texts, repeated rows alike; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -126,9 +128,9 @@ def common_lines(docs: DataFrame, rule: LineRule = LineRule(), key: str = "doc_i
 def _judged(docs: DataFrame, rule: LineRule, key: str, text: str, host: str) -> DataFrame:
     base = measures(docs.select(key, text, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text")), text).drop(text)
     common = common_lines(docs, rule, key, text, host)
-    held = _lines(docs, key, text, host).join(common, ["_host", "_line"]).where(F.col("_doc") != F.col("_first"))
-    lost = held.dropDuplicates(["_host", "_doc", "_text", "_at"]).groupBy(F.col("_doc").alias(key), "_text").agg(F.sum("_n").alias("_lost"))
-    out = base.join(lost, [key, "_text"], "left").withColumn("words_left", F.col("n_words") - F.coalesce(F.col("_lost"), F.lit(0)))
+    held = _lines(docs, key, text, host).join(common, ["_host", "_line"]).where(~F.col("_doc").eqNullSafe(F.col("_first")))
+    lost = held.dropDuplicates(["_host", "_doc", "_text", "_at"]).groupBy("_doc", F.col("_text").alias("_own")).agg(F.sum("_n").alias("_lost"))
+    out = base.join(lost, base[key].eqNullSafe(lost["_doc"]) & (base["_text"] == lost["_own"]), "left").drop("_doc", "_own").withColumn("words_left", F.col("n_words") - F.coalesce(F.col("_lost"), F.lit(0)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= rule.min_left * F.col("n_words"))).drop("_lost")
 
 

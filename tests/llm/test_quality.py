@@ -17,6 +17,26 @@ def brute(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit), failed
 
 
+def brute_kept(rows):
+    """Whether each (doc_id, text, host), with keys of their own, is kept."""
+    key = lambda line: " ".join(WORD.findall(line)).lower()
+    texts, held, first = {}, {}, {}
+    for doc, text, host in rows:
+        texts.setdefault(host or "", set()).add(text or "")
+        for line in (text or "").split("\n"):
+            if WORD.search(line):
+                at = (host or "", key(line))
+                held.setdefault(at, set()).add(text)
+                first[at] = min(first.get(at, doc), doc)
+    common = {at for at, own in held.items() if len(own) >= 10 and len(own) >= 0.05 * len(texts[at[0]])}
+    out = {}
+    for doc, text, host in rows:
+        n, *_, failed = brute(text)
+        lost = sum(len(WORD.findall(x)) for x in (text or "").split("\n") if (at := (host or "", key(x))) in common and first[at] != doc)
+        out[doc] = not failed and n - lost >= 0.3 * n
+    return out
+
+
 def measured(spark, texts):
     rows = [(i, t, None, None, None, "x", 1) for i, t in enumerate(texts)]
     got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
@@ -57,3 +77,24 @@ def test_kept_documents_tell_rows_without_or_with_repeated_keys_apart(spark):
     rows = [(None, text(0)), (None, "short"), (1, text(1)), (2, text(2)), (2, "short too")]
     df = spark.createDataFrame([(i, t, None, "h", None, "k", 0) for i, t in rows], SCHEMA)
     assert {(r.doc_id, r.text) for r in kept_documents(df).collect()} == {(None, text(0)), (1, text(1)), (2, text(2))}
+
+
+def test_verdicts_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_kept([(r.doc_id, r.text, r.source) for r in docs.collect()])
+    assert {r.doc_id: r.kept for r in quality_rules(docs).collect()} == want
+    assert {r.doc_id for r in kept_documents(docs).collect()} == {i for i, kept in want.items() if kept}
+
+
+def test_lines_of_rows_without_a_key(spark):
+    menu = " ".join(f"menu{j}" for j in range(60))
+    rows = [(i, f"{menu}\nown {i}") for i in range(11)] + [(None, f"{menu}\nnone")]
+    got = quality_rules(spark.createDataFrame([(i, t, None, "h", None, "k", 0) for i, t in rows], SCHEMA)).collect()
+    assert {(r.doc_id, r.words_left) for r in got} == {(0, 62), *((i, 2) for i in range(1, 11)), (None, 1)}
+
+
+def test_texts_are_split_a_few_times_only(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for df in (quality_rules(docs), kept_documents(docs)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") <= 9 and all("split(" not in x for x in plan.splitlines() if "Filter" in x)

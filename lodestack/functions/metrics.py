@@ -20,9 +20,16 @@ def bound(value: Column, use) -> Column:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two token arrays."""
-    count = lambda tokens, w: F.size(F.filter(tokens, lambda x: x == w))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, w: s + F.least(count(a, w), count(b, w)))
+    """Size of the multiset intersection of two token arrays: both are sorted together and walked once."""
+    side = lambda tokens, i: F.transform(tokens, lambda w: F.struct(w.alias("w"), F.lit(i).alias("i")))
+    start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("left"), F.lit(0).alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        left = F.when(s["w"].eqNullSafe(x["w"]), s["left"]).otherwise(0)
+        hit = (x["i"] == 1) & (left > 0)
+        return F.struct(x["w"].alias("w"), (left + F.when(x["i"] == 0, 1).when(hit, -1).otherwise(0)).alias("left"), (s["n"] + hit.cast("int")).alias("n"))
+
+    return F.aggregate(F.sort_array(F.concat(side(a, 0), side(b, 1))), start, step, lambda s: s["n"])
 
 
 def token_f1(pred: Column, truth: Column) -> Column:

@@ -38,8 +38,8 @@ def pack_sentences(sentences: Column, size: int, length: Callable[[Column], Colu
 
 
 def fixed_chunks(docs: DataFrame, size: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fixed-size chunks of each document: key, ordinal, chunk_id, text. A document repeated in the input is chunked once."""
-    chunks = docs.dropDuplicates([key]).select(F.col(key), F.posexplode(pack_sentences(fn.sentences_en(F.col(text)), size)).alias("ordinal", "text"))
+    """Fixed-size chunks of each document: key, ordinal, chunk_id, text. Of rows that repeat a key the one with the least text is chunked."""
+    chunks = docs.groupBy(key).agg(F.min(text).alias(text)).select(F.col(key), F.posexplode(pack_sentences(fn.sentences_en(F.col(text)), size)).alias("ordinal", "text"))
     return chunks.select(key, "ordinal", fn.chunk_id(F.col(key), F.col("ordinal")).alias("chunk_id"), fn.strip(F.col("text")).alias("text"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import metrics
 from lodestack.functions import text as fn
-from lodestack.operators import chunking, context, evaluation, joins, prompts, retrieval
+from lodestack.operators import chunking, context, coverage, evaluation, joins, prompts, retrieval
 from lodestack.plans import runs
 from lodestack.runtime import materialize, table
 from lodestack.sources import readers, settings
@@ -615,3 +615,15 @@ def run_retrieval(spark: SparkSession, d: str) -> DataFrame:
     qas = questions_of(spark, d).join(docs.select(F.col("doc_id").alias("_id"), "dataset"), "_id").withColumn("index", F.xxhash64("_id", "index"))
     done = runs.run_all(runs.Run(top_k=8, datasets=("en", "de")), docs, qas)
     return done.select("index", "_id", F.size("retrieved_ids").alias("n"), "retrieved_ids")
+
+
+@query(f"""with {PAIRS}, f as (select conv_id, turn, pred, unnest({sents('truth')}) as fact from pairs)
+select conv_id, turn, count(*)::int as n_facts, round(avg(case when contains(lower(pred), lower(fact)) then 1.0 else 0.0 end), 9) as recall from f group by conv_id, turn""")
+def fact_coverage_run(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of each next turn, judged against the turn; every second row brings its facts, the others have them extracted."""
+    key = F.struct("conv_id", "turn")
+    rows = pairs_of(spark, d).withColumn("index", F.to_json(key))
+    facts = F.when(F.col("turn") % 2 == 0, fn.sentences_en(F.col("truth")))
+    rows = rows.select("index", "conv_id", "turn", F.lit("").alias("input"), F.array("truth").alias("answers"), F.array("pred").alias("pred"), facts.alias("facts"))
+    done = coverage.coverage_run(rows).select("conv_id", "turn", F.col("ref_facts_metrics")[0].alias("m"))
+    return done.where(F.size("m.ref_facts") > 0).select("conv_id", "turn", F.size("m.ref_facts").alias("n_facts"), F.round(F.col("m.facts_recall")[0], 9).alias("recall"))

@@ -58,7 +58,7 @@ def replies(prompt: Column, name: str, load: Callable[[], Generator], samples: i
 
     @F.pandas_udf("array<string>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        call = retried(load())
+        call = None
         for part in parts:
             drawn: list[list[str | None]] = [[] for _ in part]
             for _ in range(samples):
@@ -66,6 +66,7 @@ def replies(prompt: Column, name: str, load: Callable[[], Generator], samples: i
                 got: dict[int, str] = {}
                 for _ in range(times):
                     if open_:
+                        call = call or retried(load())
                         got |= {i: r for i, r in zip(open_, call([part.iloc[i] for i in open_])) if _readable(r, name)}
                         open_ = [i for i in open_ if i not in got]
                 for i, own in enumerate(drawn):

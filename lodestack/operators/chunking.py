@@ -37,9 +37,22 @@ def pack_sentences(sentences: Column, size: int, length: Callable[[Column], Colu
     return F.element_at(F.transform(F.array(F.struct(sentences.alias("items"), pack_starts(F.transform(sentences, length), size).alias("starts"))), cut), 1)
 
 
-def fixed_chunks(docs: DataFrame, size: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fixed-size chunks of each document: key, ordinal, chunk_id, text. Of rows that repeat a key the one with the least text is chunked."""
-    chunks = docs.groupBy(key).agg(F.min(text).alias(text)).select(F.col(key), F.posexplode(pack_sentences(fn.sentences_en(F.col(text)), size)).alias("ordinal", "text"))
+#: The data sets whose sentences are cut by the Chinese rule.
+CHINESE = ("multifieldqa_zh", "dureader")
+
+
+def fixed_chunks(docs: DataFrame, size: int = 200, key: str = "doc_id", text: str = "text", dataset: str | None = None) -> DataFrame:
+    """Fixed-size chunks of each document: key, ordinal, chunk_id, text. Of rows that repeat a key the one with the least text is chunked.
+
+    With the column ``dataset`` those of Chinese data sets are cut into sentences by the Chinese rule.
+    """
+    t = F.col(text)
+    if dataset is None:
+        one, sentences = docs.groupBy(key).agg(F.min(text).alias(text)), fn.sentences_en(t)
+    else:
+        one = docs.groupBy(key).agg(F.min(F.struct(text, dataset)).alias("_r")).select(key, "_r.*")
+        sentences = F.when(F.col(dataset).isin(*CHINESE), fn.sentences_zh(t)).otherwise(fn.sentences_en(t))
+    chunks = one.select(F.col(key), F.posexplode(pack_sentences(sentences, size)).alias("ordinal", "text"))
     return chunks.select(key, "ordinal", fn.chunk_id(F.col(key), F.col("ordinal")).alias("chunk_id"), fn.strip(F.col("text")).alias("text"))
 
 

@@ -28,6 +28,21 @@ def budget_context(ranked: DataFrame, budget: int, key: str = "qid", length: Cal
     return parts.select(key, F.when(F.col("total") > budget, cut).otherwise(whole).alias("context"), F.size("c").alias("n_chunks"))
 
 
+def interval_totals(leaves: DataFrame, nodes: DataFrame, key: str = "doc_id", length: Callable[[Column], Column] = lambda t: F.size(fn.split_space(t))) -> DataFrame:
+    """Nodes (key, lft, rgt) with the characters of their leaves and the tokens of their joined text.
+
+    Both are differences of running totals over the document's leaves (key, ordinal, text).
+    """
+    order = Window.partitionBy(key).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    totals = leaves.select(key, (F.col("ordinal") + 1).alias("_at"), F.sum(F.char_length("text")).over(order).alias("_chars"), F.sum(length(F.col("text"))).over(order).alias("_tokens"))
+    out = nodes
+    for side in ("lft", "rgt"):
+        own = totals.select(F.col(key).alias(f"_key_{side}"), F.col("_at").alias(f"_at_{side}"), F.col("_chars").alias(f"_chars_{side}"), F.col("_tokens").alias(f"_tokens_{side}"))
+        out = out.join(own, (F.col(key) == F.col(f"_key_{side}")) & (F.col(side) == F.col(f"_at_{side}")), "left")
+    share = lambda what: (F.coalesce(f"_{what}_rgt", F.lit(0)) - F.coalesce(f"_{what}_lft", F.lit(0))).alias(what)
+    return out.select(*nodes.columns, share("chars"), share("tokens"))
+
+
 def merge_test(children_chars: Column, siblings: Column, parent_chars: Column, parent_tokens: Column, held_tokens: Column, context_tokens: Column, budget: Column) -> Column:
     """Whether retrieved siblings give way to their parent."""
     threshold = parent_chars / 3 * (1 + context_tokens / budget)

@@ -99,13 +99,19 @@ def check_facts(rows: DataFrame, key: str = "index", question: str = "input", re
 
 
 def coverage_run(rows: DataFrame, load_facts: Callable[[], Generator] = sentence_facts, load_judge: Callable[[], Generator] = containing_judge, samples: int = 1, key: str = "index") -> DataFrame:
-    """Evaluation rows (key, input, answers, pred, facts) with ``ref_facts_metrics``; rows that hold it already are not asked again."""
+    """Evaluation rows (key, input, answers, pred, facts) with ``ref_facts_metrics``; rows that hold it already are not asked again.
+
+    A blank reference has recall 1; without facts it is null.
+    """
     metrics = "ref_facts_metrics"
     todo = rows.where(F.col(metrics).isNull()).drop(metrics) if metrics in rows.columns else rows
     # Written, so that no prompt is answered twice.
     made = materialize(extract_facts(todo.withColumn("_reference", F.get("answers", 0)), reference="_reference", load=load_facts), "facts")
     judged = materialize(check_facts(made, key, load=load_judge, samples=samples), "judgements")
-    one = F.struct("facts_recall", F.coalesce("ref_facts", F.array().cast("array<string>")).alias("ref_facts"), "ref_facts_cov")
+    # A blank reference is covered by any response.
+    blank = F.coalesce(fn.is_blank(F.col("_reference")), F.lit(True))
+    recall = F.when(blank, F.array(F.lit(1.0))).otherwise(F.col("facts_recall")).alias("facts_recall")
+    one = F.struct(recall, F.coalesce("ref_facts", F.array().cast("array<string>")).alias("ref_facts"), "ref_facts_cov")
     out = made.join(judged, key, "left").withColumn(metrics, F.array(one)).drop("_reference", "ref_facts", "ref_facts_cov", "facts_recall")
     if metrics not in rows.columns:
         return out
@@ -113,6 +119,6 @@ def coverage_run(rows: DataFrame, load_facts: Callable[[], Generator] = sentence
 
 
 def coverage_recall(rows: DataFrame, key: str = "index") -> DataFrame:
-    """One row: the recall of facts over all samples, weighted by facts, and the mean spread between a sample's responses."""
+    """One row: the recall of facts over all samples that have any, weighted by facts, and the mean spread between a sample's responses."""
     one = rows.select(key, F.explode("ref_facts_metrics").alias("m")).select(key, F.size("m.ref_facts").alias("n_facts"), F.posexplode("m.facts_recall").alias("response", "rate"))
-    return evaluation.micro_recall(one.where("rate is not null"), key)
+    return evaluation.micro_recall(one.where("rate is not null and n_facts > 0"), key)

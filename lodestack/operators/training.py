@@ -118,3 +118,9 @@ def seeded_variants(samples: DataFrame, seeds: list[int], order: str = "input")
     for seed in seeds:
         out = out.unionByName(samples.withColumn("variant", F.lit(f"shuffled {seed}")).withColumn("shuffle", F.xxhash64(order, F.lit(seed))))
     return out
+
+
+def sampled(rows: DataFrame, share: float, seed: int = 1, key: str = "doc_id") -> DataFrame:
+    """The rows whose key a hash with the seed puts into the first ``share`` of its range: the same ones in every run."""
+    grains = 1 << 30
+    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(grains)) < int(grains * share))

@@ -627,3 +627,29 @@ def fact_coverage_run(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.select("index", "conv_id", "turn", F.lit("").alias("input"), F.array("truth").alias("answers"), F.array("pred").alias("pred"), facts.alias("facts"))
     done = coverage.coverage_run(rows).select("conv_id", "turn", F.col("ref_facts_metrics")[0].alias("m"))
     return done.where(F.size("m.ref_facts") > 0).select("conv_id", "turn", F.size("m.ref_facts").alias("n_facts"), F.round(F.col("m.facts_recall")[0], 9).alias("recall"))
+
+
+@query(f"""with {NODES}, t as (select doc_id, split_idx, length(text) as n, len({spaced('text')}) as w from splits)
+select n.doc_id, n.depth::int as depth, n.lft::int as lft, n.rgt::int as rgt, sum(t.n)::bigint as chars, sum(t.w)::bigint as tokens from nodes n join t on t.doc_id = n.doc_id and t.split_idx >= n.lft and t.split_idx < n.rgt group by all""")
+def interval_totals(spark: SparkSession, d: str) -> DataFrame:
+    """The characters and words under each node of the hierarchy, with lines as leaves."""
+    splits = splits_of(table(spark, d, "documents"))
+    leaves = splits.select("doc_id", F.col("split_idx").alias("ordinal"), "text")
+    return context.interval_totals(leaves, chunking.tree_nodes(splits).select("doc_id", "depth", "lft", "rgt"))
+
+
+@query("select doc_id, case when doc_id % 3 = 0 then lang end as lang, doc_id % 3 <> 0 as todo from documents")
+def cached_results(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return retrieval.cached(docs.select("doc_id"), docs.where("doc_id % 3 = 0").select("doc_id", "lang"), "doc_id", "lang")
+
+
+@query("select conv_id, turn, 'local' as scope, text as input, [conv_id || '_0', conv_id || '_1'] as retrieved_ids from conversations union all select conv_id, turn, 'global', text, ['x_1'] from conversations")
+def retrieval_scopes(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations")
+    key = F.col("conv_id").cast("string")
+    ctx = lambda *ids: F.array(*[F.struct(i.alias("id"), F.lit("").alias("title"), F.lit("1").alias("score")) for i in ids])
+    rows = lambda ctxs: turns.select("conv_id", "turn", F.to_json(F.struct("conv_id", "turn")).alias("index"), F.col("text").alias("question"), key.alias("id"), ctxs.alias("ctxs"))
+    parts = [rows(ctx(F.concat(key, F.lit("_0")), F.concat(key, F.lit("_1")))), rows(ctx(F.lit("x_1")))]
+    made = [p.select("conv_id", "turn", "index").join(retrieval.retrieval_rows(p), "index") for p in parts]
+    return retrieval.by_scope(*made).select("conv_id", "turn", "scope", "input", "retrieved_ids")

@@ -44,7 +44,7 @@ def index(run: Run, docs: DataFrame, splits: DataFrame | None = None) -> DataFra
         own = splits.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
         made = chunking.leaf_chunks(_fitted(run, own, tree).where(~fn.is_blank(F.col("text"))), run.chunk_size)
     else:
-        made = chunking.fixed_chunks(docs, run.chunk_size)
+        made = chunking.fixed_chunks(docs, run.chunk_size, dataset="dataset")
     return made.join(docs.select("doc_id", "dataset").dropDuplicates(["doc_id"]), "doc_id").select("dataset", "doc_id", "ordinal", "chunk_id", "text")
 
 

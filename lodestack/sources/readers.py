@@ -108,6 +108,11 @@ def training_sets(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("name").agg(F.max_by(F.struct("location", "columns"), "at").alias("_r")).select("name", "_r.*")
 
 
+def write_sorted(df: DataFrame, path: str, by: str = "index", mode: str = "errorifexists") -> None:
+    """Writes JSON lines, with nulls, whose files follow each other in the order of ``by``."""
+    df.orderBy(by).write.mode(mode).option("ignoreNullFields", "false").json(path)
+
+
 def write_table(df: DataFrame, path: str, kind: str = "parquet", by: list[str] = (), mode: str = "errorifexists") -> None:
     """Writes Parquet, or JSON lines that keep nulls, split into folders by the columns ``by``."""
     writer = df.write.mode(mode)

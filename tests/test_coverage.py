@@ -8,6 +8,7 @@ ROWS = [
     (1, "q", ["unused"], ["one"], ["one", " ", None, "two"]),
     (2, None, [""], ["x"], []),
     (3, "q", None, ["x"], None),
+    (4, "q", ["a"], [], None),
 ]
 
 
@@ -16,7 +17,7 @@ def test_run_and_recall(spark):
     got = {r["index"]: r.ref_facts_metrics[0] for r in done.collect()}
     assert got[0].ref_facts == ["Cats purr.", "Dogs bark."] and got[0].facts_recall == [0.5, 1.0]
     assert [[(c.statement, c.attributed) for c in reply] for reply in got[0].ref_facts_cov[1]] == [[("Cats purr.", 1), ("Dogs bark.", 1)]]
-    assert got[1].ref_facts == ["one", "two"] and got[1].facts_recall == [0.5] and got[2].ref_facts == [] and got[3].facts_recall is None
+    assert got[1].ref_facts == ["one", "two"] and got[1].facts_recall == [0.5] and got[2].ref_facts == [] and got[2].facts_recall == got[3].facts_recall == [1.0] and got[4].facts_recall is None
     total = coverage.coverage_recall(done).first()
     assert abs(total.recall - 100 * (0.75 * 2 + 0.5 * 2) / 4) < 1e-6 and abs(total.spread - 0.125) < 1e-9
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as fn
-from lodestack.operators import chunking, evaluation, joins, prompts, retrieval
+from lodestack.operators import chunking, evaluation, joins, prompts, retrieval, training
 from lodestack.plans import runs
 from lodestack.sources import readers, settings
 
@@ -135,6 +135,35 @@ def test_loading_and_ordinals(spark):
     assert [r.ordinal for r in retrieval.ordinals(rows, "k").orderBy("k").collect()] == list(range(1000))
 
 
+def test_merging_files(spark):
+    original = spark.createDataFrame([(1, "q1", "d"), (0, "q0", "e")], "index int, input string, _id string")
+    ctx = "index int, question string, id string, ctxs array<struct<id: string, title: string, score: string>>"
+    parts = [spark.createDataFrame([(i, f"q{i}", d, [(f"{d}_0", "", "1")])], ctx) for i, d in ((0, "e"), (1, "d"))]
+    assert [(r["index"], r.retrieved_ids) for r in retrieval.merge_files(original, *parts).collect()] == [(0, ["e_0"]), (1, ["d_0"])]
+    with pytest.raises(Exception, match="found twice"):
+        retrieval.merge_files(original, *parts, parts[0]).collect()
+    both = retrieval.by_scope(parts[0], parts[1]).collect()
+    assert {(r["index"], r.scope) for r in both} == {(0, "local"), (1, "global")}
+    rows = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    have = retrieval.cached(rows, spark.createDataFrame([(1, "x"), (2, None)], "k int, v string"), "k", "v").collect()
+    assert {(r.k, r.v, r.todo) for r in have} == {(1, "x", False), (2, None, False), (3, None, True)}
+
+
+def test_chinese_data_sets_have_their_own_sentences(spark):
+    docs = spark.createDataFrame([(1, "一二三。四五六。七", "dureader"), (2, "一二三。四五六。七", "qasper"), (1, "一二三。四五六。七", "dureader")], "doc_id int, text string, dataset string")
+    got = sorted((r.doc_id, r.text) for r in chunking.fixed_chunks(docs, 3, dataset="dataset").collect())
+    assert got == [(1, "一二三。"), (1, "七"), (1, "四五六。"), (2, "一二三。四五六。七")]
+
+
+def test_samples_and_sorted_files(spark, tmp_path):
+    rows = spark.range(4000).withColumnRenamed("id", "doc_id")
+    some = training.sampled(rows, 0.25, seed=3)
+    assert 850 < some.count() < 1150 and some.exceptAll(training.sampled(rows.repartition(7), 0.25, seed=3)).count() == 0
+    readers.write_sorted(rows.withColumnRenamed("doc_id", "index").withColumn("x", F.lit(None).cast("string")).repartition(3), str(tmp_path / "out"))
+    lines = "".join(f.read_text() for f in sorted((tmp_path / "out").glob("part*"))).splitlines()
+    assert [json.loads(x) for x in lines] == [{"index": i, "x": None} for i in range(4000)]
+
+
 def test_semantic_chunks(spark):
     docs = spark.createDataFrame([(1, "Cats purr. Cats sleep. Cats eat. Rain falls. Rain stops. Rain again."), (2, "One."), (3, "")], "doc_id int, text string")
     near = lambda rows: rows.withColumn("vec", F.when(F.col("group").contains("Cats"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))

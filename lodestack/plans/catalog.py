@@ -397,10 +397,11 @@ select source, round(sum(hit * n) / (sum(n) + 1e-20), 9) as recall, count(*) as
 def evidence_survival(spark: SparkSession, d: str) -> DataFrame:
     """How much of the evidence that a document holds stands whole in one of its fixed-size chunks, by source."""
     held = materialize(evidence_pairs(spark, d), "held")
-    items = table(spark, d, "benchmark").select("item_id", "text")
+    items = table(spark, d, "benchmark").select("item_id", F.char_length("text").alias("n"), fn.normalize_answer(F.col("text")).alias("e"))
     docs = table(spark, d, "documents")
-    chunks = chunking.fixed_chunks(docs.join(held.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", F.col("text").alias("chunk"))
-    hits = held.join(items, "item_id").join(chunks, "doc_id").groupBy("item_id", "doc_id", F.char_length("text").alias("n")).agg(F.max(metrics.evidence_hit(F.col("text"), F.col("chunk"))).alias("hit"))
+    chunks = chunking.fixed_chunks(docs.join(held.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", fn.normalize_answer(F.col("text")).alias("c"))
+    hit = F.max(F.contains("c", "e").cast("double"))
+    hits = held.join(items, "item_id").join(chunks, "doc_id").groupBy("item_id", "doc_id", "n").agg(hit.alias("hit"))
     rows = hits.join(docs.select("doc_id", "source"), "doc_id")
     return rows.groupBy("source").agg(F.round(F.sum(F.col("hit") * F.col("n")) / (F.sum("n") + evaluation.TINY), 9).alias("recall"), F.count(F.lit(1)).alias("n_evidences"))
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lodestack.functions import text as fn
 
@@ -109,24 +113,85 @@ def merge_splits(splits: DataFrame, size: int, key: str = "doc_id", length: Call
     return texts.select(F.col("key").alias(key), F.col("merged_idx").alias("split_idx"), "level", F.array_join(F.transform("t", lambda x: x["text"]), "").alias("text"))
 
 
+def by_documents(rows: DataFrame, key: str, order: list[str], run: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """``run`` over whole documents: rows in order of key and ``order``, many documents at a time, and which rows start one.
+
+    A task holds a batch and the document that is open at its end.
+    """
+
+    types = to_arrow_schema(StructType.fromDDL(schema))
+    whole = lambda t: pd.ArrowDtype(t) if t == pa.int64() else None  # noqa: E731  # long keys stay whole beside nulls
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pd.DataFrame] = []
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            batch = rows.to_pandas(types_mapper=whole)
+            last = batch[key].iloc[-1]
+            open_rows = batch[key].isna() if pd.isna(last) else batch[key] == last
+            done = int(len(batch) - open_rows.sum())
+            if not done and held and _same(held[-1][key].iloc[-1], last):
+                held.append(batch)
+                continue
+            yield from ready(pd.concat([*held, batch.iloc[:done]]))
+            held = [batch.iloc[done:]]
+        if held:
+            yield from ready(pd.concat(held))
+
+    def ready(part: pd.DataFrame) -> Iterator[pa.RecordBatch]:
+        if len(part):
+            keys, before = part[key], part[key].shift()
+            gone = keys.isna().to_numpy()
+            starts = np.where(gone | before.isna().to_numpy(), gone != before.isna().to_numpy(), (keys != before).fillna(False).to_numpy(bool))
+            starts[0] = True
+            out = run(part.reset_index(drop=True), starts)
+            for at in range(0, len(out), 50_000):
+                yield from pa.Table.from_pandas(out.iloc[at : at + 50_000], schema=types, preserve_index=False).combine_chunks().to_batches()
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(stream, schema)
+
+
+def _same(a: object, b: object) -> bool:
+    return (pd.isna(a) and pd.isna(b)) or a == b
+
+
 def tree_nodes(splits: DataFrame, key: str = "doc_id", max_level: int = MAX_LEVEL) -> DataFrame:
     """The hierarchy as intervals over split positions: key, depth, lft, rgt, parent_lft, n_children.
 
     At depth L an interval ends before each later split of level L or less; it
     is a node if the interval around it at depth L - 1 is wider than one split.
+    Rows without a key are one document, of which the root alone is given.
+
+    Only keys and levels are shuffled, once; each depth takes one pass over a batch.
     """
-    order = Window.partitionBy(key).orderBy("split_idx")
-    numbered = splits.select(key, "level", (F.row_number().over(order) - 1).cast("int").alias("i"))
-    deep = numbered.select(key, "level", "i", F.explode(F.sequence(F.lit(0), F.lit(max_level))).alias("depth"))
-    running = Window.partitionBy(key, "depth").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    groups = deep.withColumn("g", F.sum(F.when((F.col("i") > 0) & (F.col("level") <= F.col("depth")), 1).otherwise(0)).over(running))
-    spans = groups.groupBy(key, "depth", "g").agg(F.min("i").alias("lft"), (F.max("i") + 1).alias("rgt"))
-    # The interval one level up that holds this one starts at the last start not beyond it.
-    up = spans.select(key, (F.col("depth") + 1).alias("depth"), F.col("lft").alias("parent_lft"), F.col("rgt").alias("parent_rgt"))
-    held = spans.join(up, [key, "depth"], "left").where(F.col("parent_lft").isNull() | ((F.col("parent_lft") <= F.col("lft")) & (F.col("rgt") <= F.col("parent_rgt"))))
-    nodes = held.where((F.col("depth") == 0) | (F.col("parent_rgt") - F.col("parent_lft") > 1))
-    children = nodes.where("depth > 0").groupBy(key, (F.col("depth") - 1).alias("depth"), F.col("parent_lft").alias("lft")).agg(F.count(F.lit(1)).alias("n_children"))
-    return nodes.join(children, [key, "depth", "lft"], "left").select(key, "depth", "lft", "rgt", "parent_lft", F.coalesce("n_children", F.lit(0)).cast("int").alias("n_children"))
+    kind = splits.schema[key].dataType.simpleString()
+
+    def run(part: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        levels, n = part["level"].fillna(max_level + 1).to_numpy(), len(part)
+        base = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+        keyed = part[key].notna().to_numpy()
+        depths: list[list[np.ndarray]] = []
+        for depth in range(max_level + 1):
+            starts = np.flatnonzero(first | (levels <= depth))
+            ends, children = np.append(starts[1:], n), np.zeros(len(starts), np.int64)
+            if depth:
+                above_starts, above_ends, above_children = depths[-1][0], depths[-1][1], depths[-1][2]
+                up = np.searchsorted(above_starts, starts, "right") - 1
+                node = (above_ends[up] - above_starts[up] > 1) & keyed[starts]
+                above_children += np.bincount(up[node], minlength=len(above_starts))
+                parent = above_starts[up]
+            else:
+                node, parent = np.ones(len(starts), bool), np.full(len(starts), -1)
+            depths.append([starts, ends, children, node, parent])
+        out = []
+        for depth, (starts, ends, children, node, parent) in enumerate(depths):
+            at = starts[node]
+            up = pd.array(parent[node] - base[at], "Int32") if depth else pd.array([None] * len(at), "Int32")
+            out.append(pd.DataFrame({key: part[key].take(at).reset_index(drop=True), "depth": np.int32(depth), "lft": (at - base[at]).astype(np.int32), "rgt": (ends[node] - base[at]).astype(np.int32), "parent_lft": up, "n_children": children[node].astype(np.int32)}))
+        return pd.concat(out, ignore_index=True)
+
+    return by_documents(splits.select(key, "split_idx", "level"), key, ["split_idx"], run, f"{key} {kind}, depth int, lft int, rgt int, parent_lft int, n_children int")
 
 
 def leaf_chunks(splits: DataFrame, size: int = 200, key: str = "doc_id") -> DataFrame:

@@ -28,6 +28,16 @@ def test_tree(spark):
     assert len(chunking.tree_nodes(splits(spark, [3])).collect()) == 1
 
 
+def test_tree_keeps_keys_and_long_documents(spark):
+    rows = spark.createDataFrame([(None, 0, 1), (None, 1, 2), (2**60 + 1, 0, 3), (2**60 + 1, 3, 1), (2**60 + 1, 5, 11)], "doc_id long, split_idx int, level int")
+    got = {tuple(n) for n in chunking.tree_nodes(rows).collect()}
+    assert got >= {(None, 0, 0, 2, None, 0), (2**60 + 1, 0, 0, 3, None, 2), (2**60 + 1, 1, 0, 1, 0, 0), (2**60 + 1, 1, 1, 3, 0, 1)} and sum(n[0] is None for n in got) == 1
+    # Intervals of a depth were paired with all intervals above them: 10,000 times 10,000 for this document.
+    long = chunking.tree_nodes(spark.range(20_000).selectExpr("1L as doc_id", "cast(id as int) as split_idx", "cast(1 + id % 2 as int) as level"))
+    assert "Join" not in long._jdf.queryExecution().toString()
+    assert long.count() == 1 + 10_000 + 20_000
+
+
 def test_merge_over_chunks():
     run = lambda levels, size: [(b - a, level) for a, b, level in chunking.merge_over_chunks(levels, [1] * len(levels), size)]
     assert run([1, 2, 3, 2], 10) == [(4, 1)]

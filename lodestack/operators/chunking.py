@@ -206,8 +206,27 @@ def leaf_chunks(splits: DataFrame, size: int = 200, key: str = "doc_id") -> Data
 def leaf_nodes(nodes: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     """Nodes over leaf ordinals: lft_leaf and rgt_leaf from the chunks of the splits that a node holds."""
     per_split = chunks.groupBy(key, "split").agg(F.min("ordinal").alias("a"), (F.max("ordinal") + 1).alias("b"))
-    held = nodes.join(per_split, key).where((F.col("split") >= F.col("lft")) & (F.col("split") < F.col("rgt")))
-    return held.groupBy(key, "depth", "lft", "rgt", "parent_lft", "n_children").agg(F.min("a").alias("lft_leaf"), F.max("b").alias("rgt_leaf"))
+    # Splits (side 0) and nodes (side 1) of whole documents stand together; a node's splits are found by bisection, not by a join.
+    names = ["depth", "lft", "rgt", "parent_lft", "n_children", "lft_leaf", "rgt_leaf"]
+    none = lambda *found: [F.lit(None).cast("int").alias(c) for c in found]
+    sides = per_split.select(key, F.lit(0).alias("side"), F.col("split").alias("at"), "a", "b", *none(*names[:5])).unionByName(
+        nodes.where(F.col(key).isNotNull()).select(key, F.lit(1).alias("side"), F.col("lft").alias("at"), *none("a", "b"), *[F.col(c).cast("int").alias(c) for c in names[:5]])
+    )
+
+    def run(part: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        doc, side = np.cumsum(first), part["side"].to_numpy()
+        splits, own = part[side == 0], part[side == 1]
+        stride = int(max(part["at"].max(), own["rgt"].max() if len(own) else 0)) + 2
+        places = doc[side == 0] * stride + splits["at"].to_numpy()
+        lo = np.searchsorted(places, doc[side == 1] * stride + own["lft"].to_numpy(np.int64))
+        hi = np.searchsorted(places, doc[side == 1] * stride + own["rgt"].to_numpy(np.int64))
+        some = hi > lo
+        a, b = splits["a"].to_numpy(np.int64), splits["b"].to_numpy(np.int64)
+        out = own[some][[key, *names[:5]]].reset_index(drop=True)
+        return out.assign(parent_lft=out["parent_lft"].astype("Int32"), lft_leaf=a[lo[some]], rgt_leaf=b[hi[some] - 1])
+
+    kind = nodes.schema[key].dataType.simpleString()
+    return by_documents(sides, key, ["side", "at"], run, ", ".join([f"{key} {kind}", *[f"{c} int" for c in names]]))
 
 
 def chunk_documents(method: str, docs: DataFrame | None = None, splits: DataFrame | None = None, size: int = 200, max_level: int | None = None, merge: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -77,6 +78,22 @@ def auto_merge(ranked: list[tuple[object, int]], leaves: dict[tuple[object, int]
     text = lambda i: "\n".join(leaves[nodes[i].doc, k] for k in range(nodes[i].lft, nodes[i].rgt))
     render = lambda: "\n\n".join(map(text, kept))
     width = lambda i: nodes[i].rgt - nodes[i].lft
+    # Running sums over each document's leaves, and each node's tokens once, as every climb asks for them again.
+    tokens_to, chars_to, place = [0], [0], {}
+    for at in sorted(leaves):
+        place[at] = len(place)
+        tokens_to.append(tokens_to[-1] + count(leaves[at]))
+        chars_to.append(chars_to[-1] + len(leaves[at]))
+    whole_tokens: dict[int, int] = {}
+
+    def summed(totals: list[int], doc: object, a: int, b: int) -> int:
+        """The sum over the leaves [a, b) of a document, which stand side by side."""
+        return totals[place[doc, b - 1] + 1] - totals[place[doc, a]] if b > a else 0
+
+    def tokens_of(i: int) -> int:
+        if i not in whole_tokens:
+            whole_tokens[i] = count(text(i))
+        return whole_tokens[i]
 
     def apart(i: int, j: int) -> bool:
         a, b = nodes[i], nodes[j]
@@ -92,13 +109,13 @@ def auto_merge(ranked: list[tuple[object, int]], leaves: dict[tuple[object, int]
         kept.append(now)
         while (parent := nodes[now].parent) is not None:
             siblings = [k for k in kept if nodes[k].parent == parent]
-            whole = text(parent)
             p = nodes[parent]
-            held = sum(count(leaves[p.doc, x]) for x in range(p.lft, p.rgt) if any(nodes[k].doc == p.doc and nodes[k].lft <= x < nodes[k].rgt for k in kept))
-            chars = sum(len(leaves[p.doc, x]) for k in siblings for x in range(nodes[k].lft, nodes[k].rgt))
-            all_chars = sum(len(leaves[p.doc, x]) for x in range(p.lft, p.rgt))
+            # Kept nodes never overlap.
+            held = sum(summed(tokens_to, p.doc, max(p.lft, nodes[k].lft), min(p.rgt, nodes[k].rgt)) for k in kept if nodes[k].doc == p.doc)
+            chars = sum(summed(chars_to, p.doc, nodes[k].lft, nodes[k].rgt) for k in siblings)
+            all_chars = summed(chars_to, p.doc, p.lft, p.rgt)
             tokens = count(state.context)
-            if not (chars >= all_chars / 3 * (1 + tokens / budget) and len(siblings) >= 2 and count(whole) - held <= budget - tokens):
+            if not (chars >= all_chars / 3 * (1 + tokens / budget) and len(siblings) >= 2 and tokens_of(parent) - held <= budget - tokens):
                 break
             kept[kept.index(siblings[0])] = parent
             kept[:] = [k for k in kept if k == parent or apart(k, parent)]
@@ -134,11 +151,14 @@ def auto_merge_contexts(ranked: DataFrame, chunks: DataFrame, nodes: DataFrame,
             for qid, ranks, leaves, found in zip(batch["key"], batch["ranks"], batch["leaves"], batch["nodes"]):
                 tree = sorted(((n["doc_id"], n["depth"], n["lft_leaf"], n["rgt_leaf"], n["n_children"]) for n in found), key=lambda n: (n[0], n[1], n[2]))
                 out: list[Node] = []
-                path: dict[tuple, list[int]] = {}
+                path: dict[tuple, tuple[list[int], list[int]]] = {}
                 for doc, depth, a, b, children in tree:
-                    up = [i for i in path.get((doc, depth - 1), []) if out[i].lft <= a and b <= out[i].rgt]
-                    out.append(Node(doc, a, b, up[0] if up else None, children))
-                    path.setdefault((doc, depth), []).append(len(out) - 1)
+                    # Nodes of a depth do not overlap and come in order: only the last that starts at or before ``a`` can hold this one.
+                    starts, places = path.get((doc, depth - 1), ([], []))
+                    up = places[at - 1] if (at := bisect_right(starts, a)) else None
+                    out.append(Node(doc, a, b, up if up is not None and b <= out[up].rgt else None, children))
+                    for own, x in zip(path.setdefault((doc, depth), ([], [])), (a, len(out) - 1)):
+                        own.append(x)
                 texts = {(x["doc_id"], x["ordinal"]): x["text"] for x in leaves}
                 base: dict[tuple, int] = {}
                 for i, n in enumerate(out):

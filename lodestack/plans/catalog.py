@@ -350,7 +350,7 @@ def merge_condition(spark: SparkSession, d: str) -> DataFrame:
 def auto_merge(spark: SparkSession, d: str) -> DataFrame:
     """Every third leaf of each document as a ranked result, merged into parents within 300 words."""
     splits = splits_of(table(spark, d, "documents")).where(~fn.is_blank(F.col("text")))
-    chunks = chunking.leaf_chunks(splits)
+    chunks = materialize(chunking.leaf_chunks(splits), "leaves")  # read three times
     nodes = chunking.leaf_nodes(chunking.tree_nodes(splits), chunks)
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("ordinal") % 3, "ordinal"))
     ranked = chunks.select(F.col("doc_id").alias("qid"), rank.alias("rank"), "doc_id", "ordinal")

@@ -128,6 +128,14 @@ def test_windows_move_on_and_residuals():
     assert deciders.cut_paragraphs([f"p{i} word word" for i in range(20)], deciders.shortest_paragraph(), 10)[-1] == 20
 
 
+def test_splits_of_a_node_are_found_without_a_join(spark):
+    chunks = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (1, 2, 2)], "doc_id long, split int, ordinal int")
+    tree = spark.createDataFrame([(1, 0, 0, 3, None, 2), (1, 1, 0, 1, 0, 0), (1, 1, 1, 2, 0, 0), (1, 1, 2, 3, 0, 0)], "doc_id long, depth int, lft int, rgt int, parent_lft int, n_children int")
+    found = chunking.leaf_nodes(tree, chunks)
+    assert {(r.depth, r.lft, r.lft_leaf, r.rgt_leaf) for r in found.collect()} == {(0, 0, 0, 3), (1, 0, 0, 2), (1, 2, 2, 3)}
+    assert "Join" not in found._jdf.queryExecution().toString()
+
+
 def test_searches_agree(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("chunk"), F.lit(1).alias("doc_id"), F.col("embedding").alias("vec"))
     queries = rows.where("chunk % 50 = 0").withColumnRenamed("chunk", "qid")

@@ -347,9 +347,9 @@ def semantic_breaks(vectors: DataFrame, percentile: float = 0.74, key: str = "do
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
     v, before = F.col("vec"), F.col("_before")
     far = vectors.withColumn("_before", F.lag("vec").over(order)).withColumn("distance", F.round(1 - F.try_divide(dot(v, before), F.sqrt(dot(v, v) * dot(before, before))), 9))
-    limits = far.groupBy(key).agg(F.percentile("distance", F.lit(percentile)).alias("_limit"))
+    # The limit comes from a window over the same rows: a join would make the vectors twice.
     cut = F.when(F.col("distance") > F.col("_limit"), 1).otherwise(0)
-    marked = far.join(limits, key).withColumn("_cut", cut)
+    marked = far.where(F.col(key).isNotNull()).withColumn("_limit", F.percentile("distance", F.lit(percentile)).over(Window.partitionBy(key))).withColumn("_cut", cut)
     return marked.withColumn("chunk", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_before", "_limit", "_cut")
 
 

@@ -182,3 +182,16 @@ def test_a_run(spark):
     assert runs.Run("HC", 200).name == "HC200_L10"
     with pytest.raises(ValueError):
         runs.index(runs.Run("Q"), docs)
+
+
+def test_semantic_chunks_make_vectors_once(spark):
+    from lodestack.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "One two. Three four. Five six."), (None, "A b. C d.")], "doc_id long, text string")
+    got = chunking.semantic_chunks(docs, lambda rows: retrieval.embed(rows, "group"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("ArrowEvalPython") == 1
+    assert {r.doc_id for r in got.collect()} == {1}
+    words = [f"w{i}" for i in range(70_000)]
+    encode = retrieval.hash_encoder(8)
+    assert (encode([" ".join(words), "w1 w1 w2", "", " "]) == encode([" ".join(words), "w1 w1 w2", "", " "])).all()

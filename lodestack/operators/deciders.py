@@ -23,6 +23,13 @@ LEVELS = tuple(f"Level {x}" for x in "One Two Three Four Five Six Seven Eight Ni
 _LINE = re.compile(r"^([0-9]+), (.*), (.*)$")
 
 
+def pieces(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    """Batches in pieces of a few documents, so that a step's results for a whole batch never stand in memory at once."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
 class Generator(Protocol):
     def __call__(self, prompts: list[str]) -> list[str]: ...
 
@@ -191,7 +198,7 @@ def paragraph_chunks(docs: DataFrame, target: int = 550, load: Callable = shorte
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decide = retried(load())
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 parts = [x for x in (text or "").split("\n") if x.strip()]

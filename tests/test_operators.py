@@ -136,6 +136,13 @@ def test_splits_of_a_node_are_found_without_a_join(spark):
     assert "Join" not in found._jdf.queryExecution().toString()
 
 
+def test_pieces_hold_few_documents():
+    import pandas as pd
+
+    parts = list(deciders.pieces([pd.DataFrame({"x": range(600)}), pd.DataFrame({"x": []}), pd.DataFrame({"x": [600]})]))
+    assert [len(p) for p in parts] == [256, 256, 88, 1] and [x for p in parts for x in p["x"]] == list(range(601))
+
+
 def test_searches_agree(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("chunk"), F.lit(1).alias("doc_id"), F.col("embedding").alias("vec"))
     queries = rows.where("chunk % 50 = 0").withColumnRenamed("chunk", "qid")

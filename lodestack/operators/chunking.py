@@ -156,21 +156,30 @@ def _same(a: object, b: object) -> bool:
     return (pd.isna(a) and pd.isna(b)) or a == b
 
 
-def tree_nodes(splits: DataFrame, key: str = "doc_id", max_level: int = MAX_LEVEL) -> DataFrame:
+def running(numbers: pd.Series) -> np.ndarray:
+    """The sum before each row and, last, that of all; nulls count nothing."""
+    return np.append(0, np.cumsum(numbers.fillna(0).to_numpy(np.int64)))
+
+
+def tree_nodes(splits: DataFrame, key: str = "doc_id", max_level: int = MAX_LEVEL, totals: dict[str, Column] | None = None) -> DataFrame:
     """The hierarchy as intervals over split positions: key, depth, lft, rgt, parent_lft, n_children.
 
     At depth L an interval ends before each later split of level L or less; it
     is a node if the interval around it at depth L - 1 is wider than one split.
     Rows without a key are one document, of which the root alone is given.
+    ``totals`` names numbers of a split, which are added up for each node (long).
 
-    Only keys and levels are shuffled, once; each depth takes one pass over a batch.
+    Only keys, levels and these numbers are shuffled, once; each depth takes one pass over a batch.
     """
     kind = splits.schema[key].dataType.simpleString()
+    totals = totals or {}
+    names = list(totals)
 
     def run(part: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
         levels, n = part["level"].fillna(max_level + 1).to_numpy(), len(part)
         base = np.maximum.accumulate(np.where(first, np.arange(n), 0))
         keyed = part[key].notna().to_numpy()
+        sums = {name: running(part[name]) for name in names}
         depths: list[list[np.ndarray]] = []
         for depth in range(max_level + 1):
             starts = np.flatnonzero(first | (levels <= depth))
@@ -188,10 +197,11 @@ def tree_nodes(splits: DataFrame, key: str = "doc_id", max_level: int = MAX_LEVE
         for depth, (starts, ends, children, node, parent) in enumerate(depths):
             at = starts[node]
             up = pd.array(parent[node] - base[at], "Int32") if depth else pd.array([None] * len(at), "Int32")
-            out.append(pd.DataFrame({key: part[key].take(at).reset_index(drop=True), "depth": np.int32(depth), "lft": (at - base[at]).astype(np.int32), "rgt": (ends[node] - base[at]).astype(np.int32), "parent_lft": up, "n_children": children[node].astype(np.int32)}))
+            out.append(pd.DataFrame({key: part[key].take(at).reset_index(drop=True), "depth": np.int32(depth), "lft": (at - base[at]).astype(np.int32), "rgt": (ends[node] - base[at]).astype(np.int32), "parent_lft": up, "n_children": children[node].astype(np.int32)} | {name: s[ends[node]] - s[at] for name, s in sums.items()}))
         return pd.concat(out, ignore_index=True)
 
-    return by_documents(splits.select(key, "split_idx", "level"), key, ["split_idx"], run, f"{key} {kind}, depth int, lft int, rgt int, parent_lft int, n_children int")
+    rows = splits.select(key, "split_idx", "level", *[c.cast("long").alias(name) for name, c in totals.items()])
+    return by_documents(rows, key, ["split_idx"], run, f"{key} {kind}, depth int, lft int, rgt int, parent_lft int, n_children int" + "".join(f", {name} long" for name in names))
 
 
 def leaf_chunks(splits: DataFrame, size: int = 200, key: str = "doc_id") -> DataFrame:

@@ -6,11 +6,13 @@ from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as fn
+from lodestack.operators.chunking import by_documents, running, tree_nodes
 
 
 def budget_context(ranked: DataFrame, budget: int, key: str = "qid", length: Callable[[Column], Column] = lambda t: F.size(fn.split_space(t))) -> DataFrame:
@@ -32,16 +34,36 @@ def budget_context(ranked: DataFrame, budget: int, key: str = "qid", length: Cal
 def interval_totals(leaves: DataFrame, nodes: DataFrame, key: str = "doc_id", length: Callable[[Column], Column] = lambda t: F.size(fn.split_space(t))) -> DataFrame:
     """Nodes (key, lft, rgt) with the characters of their leaves and the tokens of their joined text.
 
-    Both are differences of running totals over the document's leaves (key, ordinal, text).
+    Both are differences of running totals over the document's leaves (key, ordinal, text). Leaves (side 0)
+    and nodes (side 1) of whole documents stand together in one pass, so the totals are made once and
+    nothing is joined. Nodes without a key have no leaves.
     """
-    order = Window.partitionBy(key).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    totals = leaves.select(key, (F.col("ordinal") + 1).alias("_at"), F.sum(F.char_length("text")).over(order).alias("_chars"), F.sum(length(F.col("text"))).over(order).alias("_tokens"))
-    out = nodes
-    for side in ("lft", "rgt"):
-        own = totals.select(F.col(key).alias(f"_key_{side}"), F.col("_at").alias(f"_at_{side}"), F.col("_chars").alias(f"_chars_{side}"), F.col("_tokens").alias(f"_tokens_{side}"))
-        out = out.join(own, (F.col(key) == F.col(f"_key_{side}")) & (F.col(side) == F.col(f"_at_{side}")), "left")
-    share = lambda what: (F.coalesce(f"_{what}_rgt", F.lit(0)) - F.coalesce(f"_{what}_lft", F.lit(0))).alias(what)
-    return out.select(*nodes.columns, share("chars"), share("tokens"))
+    names = nodes.columns
+    sides = (
+        leaves.select(key, F.lit(0).alias("_side"), F.col("ordinal").cast("long").alias("_at"), F.char_length("text").cast("long").alias("_chars"), length(F.col("text")).cast("long").alias("_tokens"))
+        .where(F.col(key).isNotNull())
+        .unionByName(nodes.withColumns({"_side": F.lit(1), "_at": F.col("lft").cast("long"), "_end": F.col("rgt").cast("long")}), allowMissingColumns=True)
+    )
+
+    def run(part: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        doc, leaf = np.cumsum(first) - 1, (part["_side"] == 0).to_numpy()
+        # Leaves of all documents in order, and how many stand before each document.
+        before = np.append(0, np.cumsum(np.bincount(doc[leaf], minlength=doc[-1] + 1)))
+        a, b = before[doc[~leaf]], before[doc[~leaf] + 1]
+        out = part.loc[~leaf, names].reset_index(drop=True)
+        lft, rgt = (np.minimum(a + part.loc[~leaf, at].to_numpy(np.int64), b) for at in ("_at", "_end"))
+        for name in ("chars", "tokens"):
+            total = running(part.loc[leaf, f"_{name}"])
+            out[name] = total[rgt] - total[lft]
+        return out
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema)
+    return by_documents(sides, key, ["_side", "_at"], run, f"{schema}, chars long, tokens long")
+
+
+def tree_totals(splits: DataFrame, key: str = "doc_id", length: Callable[[Column], Column] = lambda t: F.size(fn.split_space(t))) -> DataFrame:
+    """``interval_totals`` of the hierarchy of splits (key, split_idx, level, text), in the pass that makes its nodes."""
+    return tree_nodes(splits, key, totals={"chars": F.char_length("text"), "tokens": length(F.col("text"))})
 
 
 def merge_test(children_chars: Column, siblings: Column, parent_chars: Column, parent_tokens: Column, held_tokens: Column, context_tokens: Column, budget: Column) -> Column:

@@ -634,9 +634,8 @@ def fact_coverage_run(spark: SparkSession, d: str) -> DataFrame:
 select n.doc_id, n.depth::int as depth, n.lft::int as lft, n.rgt::int as rgt, sum(t.n)::bigint as chars, sum(t.w)::bigint as tokens from nodes n join t on t.doc_id = n.doc_id and t.split_idx >= n.lft and t.split_idx < n.rgt group by all""")
 def interval_totals(spark: SparkSession, d: str) -> DataFrame:
     """The characters and words under each node of the hierarchy, with lines as leaves."""
-    splits = splits_of(table(spark, d, "documents"))
-    leaves = splits.select("doc_id", F.col("split_idx").alias("ordinal"), "text")
-    return context.interval_totals(leaves, chunking.tree_nodes(splits).select("doc_id", "depth", "lft", "rgt"))
+    splits = splits_of(table(spark, d, "documents").where("doc_id is not null"))
+    return context.tree_totals(splits).select("doc_id", "depth", "lft", "rgt", "chars", "tokens")
 
 
 @query("select doc_id, case when doc_id % 3 = 0 then lang end as lang, doc_id % 3 <> 0 as todo from documents")

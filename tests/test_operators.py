@@ -304,3 +304,40 @@ def test_retrieval_is_held_against_evidence_of_the_data_set(spark):
     assert abs(half - 6 / 9) < 1e-12
     scores = {r.d: r.retrieval for r in evaluation.retrieval_scores(df.withColumn("x", F.lit("One.Two, an answer")), "d", "e", "a", "x").collect()}
     assert scores == {"HiCBench": 50.0, "GutenQA": 100.0, "OHRBench_sub": 100.0, "qasper_all": 100.0, "qasper": 100.0}
+
+
+def test_interval_totals_in_one_pass(spark):
+    rng = random.Random(5)
+    rows = [(doc, i, " ".join("w" * rng.randint(1, 4) for _ in range(rng.randint(0, 5))), rng.randint(1, 4)) for doc in ("a", "b", None) for i in range(12)]
+    rows += [("long", i, "x yz", 1 + i % 2) for i in range(25_000)]
+    table = spark.createDataFrame(rows, "doc_id string, split_idx int, text string, level int")
+    nodes = chunking.tree_nodes(table)
+    text = {(d, i): t for d, i, t, _ in rows}
+
+    def brute(d, lft, rgt):
+        own = [text[d, i] for i in range(lft, rgt)]
+        return sum(map(len, own)), sum(len(t.split()) for t in own)
+
+    inside = context.tree_totals(table)
+    leaves = table.withColumnRenamed("split_idx", "ordinal")
+    beside = context.interval_totals(leaves, nodes)
+    assert beside.columns == inside.columns
+    wide = [r for r in inside.where("doc_id is not null").collect() if r.doc_id != "long" or r.rgt - r.lft == 1 or r.lft == 0]
+    assert len(wide) > 25_000 and all((r.chars, r.tokens) == brute(r.doc_id, r.lft, r.rgt) for r in wide)
+    assert inside.where("doc_id is not null").exceptAll(beside).count() == 0 and beside.where("doc_id is not null").count() == inside.where("doc_id is not null").count()
+    assert [(r.chars, r.tokens) for r in beside.where("doc_id is null").collect()] == [(0, 0)]
+    for made in (inside, beside):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Window" not in plan
+    # Nodes of a document without leaves, or that reach beyond them, count what is there; other columns stay.
+    odd = spark.createDataFrame([("a", 10, 99, "p", None), ("none", 0, 3, None, 7)], "doc_id string, lft int, rgt int, tag string, n int")
+    got = {r.doc_id: r for r in context.interval_totals(leaves, odd).collect()}
+    assert (got["a"].chars, got["a"].tokens, got["a"].tag, got["a"].n) == (*brute("a", 10, 12), "p", None)
+    assert (got["none"].chars, got["none"].tokens, got["none"].tag, got["none"].n) == (0, 0, None, 7)
+
+
+def test_interval_totals_query_leaves_out_documents_without_a_key(spark, tmp_path):
+    from lodestack.plans.catalog import interval_totals
+
+    spark.createDataFrame([(1, "a b\nc"), (None, "d\ne"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(tuple(r) for r in interval_totals(spark, str(tmp_path)).collect()) == [(1, 0, 0, 2, 6, 3), (1, 1, 0, 2, 6, 3), (1, 2, 0, 1, 4, 2), (1, 2, 1, 2, 2, 1)]

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 # The code points that count as white space, the 32 ASCII punctuation marks, and the listed CJK marks.
 SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NOT_SPACE = SPACE.replace("[", "[^", 1)
+SPACES = "".join(chr(c) for a, b in ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)) for c in range(a, b + 1))
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CJK_PUNCTUATION = "！？｡。＂＃＄％＆＇（）＊＋，－／：；＜＝＞＠［＼］＾＿｀｛｜｝～｟｠｢｣､、〃》「」『』【】〔〕〖〗〘〙〚〛〜〝〞〟〰〾〿–—‘’‛“”„‟…‧﹏."
 CJK = r"[\x{4E00}-\x{9FA5}]"
 
 
 def strip(s: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at both ends, which alone are looked at."""
+    return F.btrim(s, F.lit(SPACES))
 
 
 def is_blank(s: Column) -> Column:

@@ -32,13 +32,17 @@ def pack_sentences(sentences: Column, size: int, length: Callable[[Column], Colu
     """Chunks of at most ``size`` words from whole sentences, joined without a separator.
 
     The fold carries positions alone, so its state stays small for long documents.
+    Sentences and starts are values of a lambda each, so that they are made once.
     """
 
-    def cut(both: Column) -> Column:
-        items, starts = both["items"], both["starts"]
-        return F.transform(starts, lambda a, k: F.array_join(F.slice(items, a + 1, F.coalesce(F.get(starts, k + 1), F.size(items)) - a), ""))
+    def once(value: Column, f: Callable[[Column], Column]) -> Column:
+        return F.element_at(F.transform(F.array(value), f), 1)
 
-    return F.element_at(F.transform(F.array(F.struct(sentences.alias("items"), pack_starts(F.transform(sentences, length), size).alias("starts"))), cut), 1)
+    def cut(items: Column) -> Column:
+        part = lambda starts: F.transform(starts, lambda a, k: F.array_join(F.slice(items, a + 1, F.coalesce(F.get(starts, k + 1), F.size(items)) - a), ""))
+        return once(pack_starts(F.transform(items, length), size), part)
+
+    return once(sentences, cut)
 
 
 #: The data sets whose sentences are cut by the Chinese rule.

@@ -75,3 +75,28 @@ def test_bleu_query_counts_four_grams(spark):
     got = {(r.conv_id, r.turn): r.bleu for r in catalog.bleu(spark, d).collect()}
     assert got.keys() == pairs.keys() and all(abs(got[k] - metrics.bleu_reference(*pairs[k])) < 1e-8 for k in pairs)
     assert any(metrics.bleu_reference(*pairs[k], 2) > 0 == got[k] for k in pairs)
+
+
+def test_strip_looks_at_the_ends_alone(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    signs = [*fn.SPACES, "a", "é", "\U0001f600", "\x08", "\x0e", "\u200b", "\u180e", "\ufeff", "^", "-", "]"]
+    some = ["", *fn.SPACES, None] + ["".join(rng.choices(signs, k=rng.randint(0, 12))) for _ in range(2000)]
+    space = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", fn.SPACE)
+    assert [c for c in map(chr, range(0x110000)) if re.match(space, c)] == list(fn.SPACES)
+    out = spark.createDataFrame(list(enumerate(some)), "i int, s string").select("i", fn.strip(F.col("s")).alias("s"))
+    got = {r.i: r.s for r in out.collect()}
+    assert all(got[i] == (None if s is None else re.sub(f"^{space}+|{space}+\\Z", "", s)) for i, s in enumerate(some))
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fixed_chunks_make_sentences_once(spark):
+    from lodestack.operators.chunking import fixed_chunks
+
+    docs = spark.createDataFrame([(1, " One two. Three!  Four five six? Seven. "), (2, None), (3, " \u3000"), (3, " "), (4, "a b c d e f")], "doc_id int, text string")
+    made = fixed_chunks(docs, 3)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("([.!?])") == 1
+    got = sorted((r.doc_id, r.ordinal, r.text) for r in made.collect())
+    assert got == [(1, 0, "One two.Three!"), (1, 1, "Four five six?"), (1, 2, "Seven."), (4, 0, "a b c d e f")]

@@ -4,15 +4,29 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as fn
 
 INSTRUCTION = "Mark the numbered sentences where a section starts, with its level and whether it is a heading."
 
+#: Lines whose samples a step makes at a time; a longer document is taken alone.
+STEP = 1 << 16
+
+
+class Line(NamedTuple):
+    """A line's place in its document, its level and its words, with heading marks and without."""
+
+    at: int
+    level: int
+    n: int
+    n_shown: int
+
 
 def _residual(annotation: list[list[list]], f: int, s: int, rng: random.Random) -> list:
     """Lines carried into the next sample: of the segment before (or not) and of this one up to part ``s``, the first part and up to four others, 1 to 20 lines of each."""
@@ -23,32 +37,31 @@ def _residual(annotation: list[list[list]], f: int, s: int, rng: random.Random)
     return [x for part in carried for x in part[: rng.randint(1, 20)]]
 
 
-def _samples(lines: list, window: int, least: int, max_level: int, omit_p: float, shuffle_p: float, rng: random.Random) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
-    """(numbered lines, points) of each sample of one document's lines."""
+def _samples(lines: list[Line], window: int, least: int, max_level: int, omit_p: float, shuffle_p: float, rng: random.Random) -> Iterator[tuple[list[int], list[tuple[int, int]]]]:
+    """(places of the lines shown, points) of each sample of one document's lines."""
     annotation: list[list[list]] = []
     for x in lines:
-        if not annotation or x["level"] == 1:
+        if not annotation or x.level == 1:
             annotation.append([[x]])
-        elif x["level"] == 2:
+        elif x.level == 2:
             annotation[-1].append([x])
         else:
             annotation[-1][-1].append(x)
     if rng.random() < shuffle_p:
         rng.shuffle(annotation)
 
-    shown: list[str] = []
+    shown: list[int] = []
     points: list[tuple[int, int]] = []
     used = len(INSTRUCTION.split())
 
     def show(x) -> None:
         nonlocal used
-        text = x["text"].lstrip("# ") if x["level"] else x["text"]
-        shown.append(f"{len(shown)} @ {text}")
-        used += 2 + x["n_shown"]
+        shown.append(x.at)
+        used += 2 + x.n_shown
 
     for f, segment in enumerate(annotation):
         n = sum(map(len, segment))
-        if sum(x["n"] for part in segment for x in part) <= least:
+        if sum(x.n for part in segment for x in part) <= least:
             continue
         if rng.random() < omit_p:
             annotation[f] = segment = segment[: rng.randint(min(n, 5), min(n, 15))]
@@ -58,14 +71,14 @@ def _samples(lines: list, window: int, least: int, max_level: int, omit_p: float
             for x in part:
                 if used >= window:
                     break
-                if 0 < x["level"] <= max_level:
-                    points.append((len(shown), x["level"]))
+                if 0 < x.level <= max_level:
+                    points.append((len(shown), x.level))
                 show(x)
             if used >= window:
                 yield shown, points
                 shown, points, used = [], [], len(INSTRUCTION.split())
                 carried = _residual(annotation, f, s, rng)
-                if used + sum(2 + x["n_shown"] for x in carried) < window:
+                if used + sum(2 + x.n_shown for x in carried) < window:
                     for x in carried:
                         show(x)
                 break
@@ -86,21 +99,37 @@ def training_samples(lines: DataFrame, window: int = 8192, least: int = 50, max_
     with ``omit_p`` a first-level segment keeps 5 to 15 of its second-level ones,
     and one of these 15 to 25 of its lines. Choices hang on ``seed`` and the key alone.
     """
-    kind = lines.schema[key].dataType.simpleString()
-    plain = F.when(fn.heading_level(F.col("text")) > 0, F.regexp_replace("text", "^[ #]*", "")).otherwise(F.col("text"))
-    leveled = lines.where("text <> ''").select(F.col(key).alias("key"), "pos", "text", fn.heading_level(F.col("text")).alias("level"), F.size(fn.split_space(F.col("text"))).alias("n"), F.size(fn.split_space(plain)).alias("n_shown"))
-    per_doc = leveled.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "level", "n", "n_shown"))).alias("lines")).withColumn("seed", F.xxhash64("key", F.lit(seed)))
+    bare = lambda text: F.regexp_replace(text, "^[ #]*", "")
+    plain = F.when(fn.heading_level(F.col("text")) > 0, bare(F.col("text"))).otherwise(F.col("text"))
+    leveled = lines.where("text <> ''").select(key, "pos", "text", fn.heading_level(F.col("text")).alias("level"), F.size(fn.split_space(F.col("text"))).alias("n"), F.size(fn.split_space(plain)).alias("n_shown"))
+    per_doc = leveled.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "text", "level", "n", "n_shown"))).alias("lines"))
     names = "One Two Three Four Five Six Seven Eight Nine Ten".split()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    kind = pa.list_(pa.struct([("shown", pa.list_(pa.int32())), ("output", pa.string())]))
+
+    # Python sees levels and counts alone; the lines stay in the JVM, which puts them in by place.
+    @F.arrow_udf("array<struct<shown:array<int>,output:string>>")
+    def choose(levels: pa.Array, ns: pa.Array, n_shown: pa.Array, seeds: pa.Array) -> pa.Array:
+        made, at = [], 0
+        ends = np.cumsum(levels.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+        while at < len(levels):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, side="right")))
             rows = []
-            for doc, own, start in zip(batch["key"], batch["lines"], batch["seed"]):
-                for shown, points in _samples(list(own), window, least, max_level, omit_p, shuffle_p, random.Random(int(start))):
-                    rows.append((doc, INSTRUCTION, "\n".join(shown), "\n".join(f"{p}, Level {names[level - 1]}, True" for p, level in points), len(shown)))
-            yield pd.DataFrame(rows, columns=["key", "instruction", "input", "output", "n_lines"])
-
-    return per_doc.mapInPandas(run, f"key {kind}, instruction string, input string, output string, n_lines int").withColumnRenamed("key", key)
+            for *numbers, start in zip(*(x.slice(at, to - at).to_pylist() for x in (levels, ns, n_shown, seeds))):
+                found = _samples([Line(i, *x) for i, x in enumerate(zip(*numbers))], window, least, max_level, omit_p, shuffle_p, random.Random(start))
+                rows.append([{"shown": shown, "output": "\n".join(f"{p}, Level {names[level - 1]}, True" for p, level in points)} for shown, points in found])
+            made.append(pa.array(rows, kind))
+            at = to
+        return pa.concat_arrays(made) if made else pa.array([], kind)
+
+    def sample(s: Column) -> Column:
+        line = lambda at: F.col("lines")[at]
+        text = lambda x: F.when(x["level"] > 0, bare(x["text"])).otherwise(x["text"])
+        numbered = F.transform(s["shown"], lambda at, i: fn.index_format(i, text(line(at))))
+        return F.struct(F.array_join(numbered, "\n").alias("input"), s["output"].alias("output"), F.size(s["shown"]).alias("n_lines"))
+
+    numbers = [F.col(f"lines.{name}") for name in ("level", "n", "n_shown")]
+    chosen = per_doc.withColumn("samples", choose(*numbers, F.xxhash64(key, F.lit(seed))))
+    return chosen.select(key, F.explode(F.transform("samples", sample)).alias("s")).select(key, F.lit(INSTRUCTION).alias("instruction"), "s.input", "s.output", "s.n_lines")
 
 
 def training_variants(lines: DataFrame, seeds: list[int], **options) -> DataFrame:

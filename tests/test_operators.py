@@ -341,3 +341,21 @@ def test_interval_totals_query_leaves_out_documents_without_a_key(spark, tmp_pat
 
     spark.createDataFrame([(1, "a b\nc"), (None, "d\ne"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(tuple(r) for r in interval_totals(spark, str(tmp_path)).collect()) == [(1, 0, 0, 2, 6, 3), (1, 1, 0, 2, 6, 3), (1, 2, 0, 1, 4, 2), (1, 2, 1, 2, 2, 1)]
+
+
+def test_training_samples_keep_texts_out_of_python(spark, monkeypatch):
+    from lodestack.operators import training
+
+    texts = ["", "  # A b", "one  two\tthree", "## B", "four five # six", " #", "#### C d", "seven"]
+    lines = spark.createDataFrame([(d, i, t) for d in (1, None) for i, t in enumerate(texts * (3 if d else 1))], "doc_id long, pos int, text string")
+    made = training_samples(lines, window=30, least=3)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    call = next(x for x in plan.split("\n") if "ArrowEvalPython" in x)
+    assert "MapInPandas" not in plan and ".text" not in call and all(f".{name}" in call for name in ("level", "n", "n_shown"))
+    want = sorted(map(tuple, made.collect()), key=str)
+    assert len(want) > 3 and {r[0] for r in want} == {1, None}
+    whole = [r for r in training_samples(lines, window=400, least=3).collect() if r.doc_id is None]
+    assert [r.input for r in whole] == ["0 @ A b\n1 @ one  two\tthree\n2 @ B\n3 @ four five # six\n4 @ \n5 @ C d\n6 @ seven"]
+    assert [r.output for r in whole] == ["0, Level One, True\n2, Level Two, True\n4, Level One, True\n5, Level Four, True"]
+    monkeypatch.setattr(training, "STEP", 1)
+    assert sorted(map(tuple, training_samples(lines, window=30, least=3).collect()), key=str) == want
